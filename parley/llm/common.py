@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of at most three numbers that may be broadcast; at 24 bytes each, 12 MB.
@@ -70,3 +70,10 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; rows without an id are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
+
+
+def bounded_sample(df: DataFrame, by: str, per_class: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """At most ``per_class`` rows of each value of ``by``: those whose keys' hashes are smallest. Each task passes
+    on no more than that, so a frequent value does not land whole in one task."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return df.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= per_class).drop("sample_rank")

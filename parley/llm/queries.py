@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, sharding
-from .common import read_table
+from . import langid, mixing, packing, pii, sharding, toxicity
+from .common import fold_of, read_table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,6 +29,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").cast("long").alias("copies"), F.col("mix_copy").cast("long").alias("copy"), F.col("mix_key").alias("order_key"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text; what is held out (fold 1 of 3) teaches nothing."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity(docs, labels.where(fold_of(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score_toxicity(spark, docs, model)
+    held = (fold_of(F.col("doc_id"), 3) == 1).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids by concatenating and cutting."""
     pieces = packing.pack(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -41,11 +50,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; what is held out (fold 0 of 5) teaches nothing."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train_language_model(docs.where(fold_of(F.col("doc_id"), 5) != 0))
+    held = (fold_of(F.col("doc_id"), 5) == 0).alias("held_out")
+    return langid.identify_language(spark, docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
