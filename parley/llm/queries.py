@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, sharding, toxicity
+from . import langid, mixing, packing, pii, sharding, topk, toxicity
 from .common import fold_of, read_table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hundredth vector, the ten others with the largest integer inner products."""
+    return topk.exact_top_k(spark, read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024.0)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole text: counts by base kind, a digest of the base spans, and all spans."""
     found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii_spans")
@@ -59,6 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
@@ -68,6 +74,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
     "op4_mixing": """
         WITH counts AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
         rates AS (SELECT source, w / sum(w) OVER () * sum(n) OVER () / n AS rate FROM counts),
