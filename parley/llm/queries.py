@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, sharding, topk, toxicity
+from . import ann, langid, mixing, packing, pii, sharding, topk, toxicity
 from .common import fold_of, read_table
 
 
@@ -43,6 +43,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each fiftieth vector, the five nearest others that the posting lists find."""
+    return ann.nearest(spark, read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids by concatenating and cutting."""
     pieces = packing.pack(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_neighbours": op6_neighbours,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
