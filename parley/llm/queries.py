@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, packing, pii, sharding, topk, toxicity
+from . import ann, langid, mixing, near_dedup, packing, pii, sharding, topk, toxicity
 from .common import fold_of, read_table
 
 
@@ -48,6 +48,11 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, read_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: two-word shingles, similarity 0.8 or more."""
+    return near_dedup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids by concatenating and cutting."""
     pieces = packing.pack(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_neighbours": op6_neighbours,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
@@ -101,4 +107,17 @@ ORACLE_SQL = {
             FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
         SELECT doc_id, source, text, round(rate, 6) AS rate, copies::BIGINT AS copies, copy, md5('order:' || doc_id || ':' || copy || ':17') AS order_key
         FROM counted, LATERAL (SELECT unnest(range(1, copies::BIGINT + 1)) AS copy)""",
+    "op7_near_dedup": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+        spread AS (SELECT doc_id, unnest(s) AS x FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM spread a JOIN spread b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+        least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+        SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id, s.doc_id = component_id AS kept
+        FROM sizes s LEFT JOIN least l USING (doc_id)""",
 }
