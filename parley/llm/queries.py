@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, near_dedup, packing, pii, sharding, topk, toxicity
+from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity
 from .common import fold_of, read_table
 
 
@@ -28,6 +28,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.col("pii_spans").alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence families that every whole text names."""
+    docs = read_table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(spark, docs, licenses.train_licenses(docs))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, replicated so that a source's share follows the square root of its size, in random order."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -76,6 +82,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_neighbours": op6_neighbours,
