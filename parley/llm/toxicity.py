@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import bounded_sample
 
@@ -168,22 +170,39 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 8, rate: fl
     return _fit(rows, counts[1] / (counts[0] + counts[1]), epochs, rate, seed)
 
 
+def _judge(text: str | None, model: ToxicityModel, weight, least: float) -> tuple[float, list[dict]]:
+    """A text's score, and its sentences that score ``least`` or more."""
+    if model.prior is not None:
+        return model.prior, []
+    none, spots = 0.0, []
+    for m in _SENTENCE.finditer(text or ""):
+        z = model.bias + sum(map(weight, _words(m[0])))
+        none -= z if z > 30 else math.log1p(math.exp(z))
+        if z > 0 and (p := 1 / (1 + math.exp(-min(z, 40.0)))) >= least:
+            spots.append({"start": m.start(), "end": m.end(), "score": p})
+    odds = max(-30.0, min(30.0, math.log(max(-math.expm1(none), 1e-300)) - none))
+    return 1 / (1 + math.exp(-(model.slope * odds + model.shift))), spots
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, least: float) -> Iterator[pa.RecordBatch]:
     weight = _Weights(model.weights).__getitem__
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for batch in batches:
-        scores, offending = [], []
-        for text in batch["text"]:
-            none, spots = 0.0, []
-            for m in _SENTENCE.finditer(text.as_py() or "") if model.prior is None else ():
-                z = model.bias + sum(map(weight, _words(m[0])))
-                none -= z if z > 30 else math.log1p(math.exp(z))
-                if z > 0 and (p := 1 / (1 + math.exp(-min(z, 40.0)))) >= least:
-                    spots.append({"start": m.start(), "end": m.end(), "score": p})
-            odds = max(-30.0, min(30.0, math.log(max(-math.expm1(none), 1e-300)) - none))
-            scores.append(1 / (1 + math.exp(-(model.slope * odds + model.shift))) if model.prior is None else model.prior)
-            offending.append(spots)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array(offending, kind)], ["doc_id", "score", "offending"])
+        judged = [_judge(text.as_py(), model, weight, least) for text in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], kind)], ["doc_id", "score", "offending"])
+
+
+def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel) -> Column:
+    """The score of a text column, for rows that keep all their other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weight = _Weights(shared.value.weights).__getitem__
+        for texts in batches:
+            yield texts.map(lambda t: _judge(t, shared.value, weight, 1.0)[0]).astype("float64")
+
+    return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
