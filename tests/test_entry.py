@@ -1,0 +1,39 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from parley.plans import queries as core
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+def test_matches_sql(spark, duck, name):
+    got = core.QUERIES[name](spark, SF)
+    cursor = duck.execute(core.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(c[0] for c in cursor.description)
+    place = [[c[0] for c in cursor.description].index(c) for c in columns]
+    expected = sorted(str([r[i] for i in place]) for r in cursor.fetchall())
+    assert sorted(str([r[c] for c in columns]) for r in got.collect()) == expected
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 34
+
+
+def test_document_scan(spark):
+    assert {r["name"]: r["error"] for r in entry.queries()["document_scan"](spark, SF).collect()} == {"nation.parquet": "UnicodeDecodeError", "sf0.001": "IsADirectoryError", "missing.md": "not found"}
+
+
+def test_every_query_is_registered():
+    assert set(core.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
