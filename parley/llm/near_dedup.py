@@ -6,9 +6,8 @@
 3. In each bucket every class is paired with the smallest one only. Pairs are verified on their full sets, and
    linked classes become components.
 4. Buckets that still hold several components are worked off whole: a pair of classes of different components is
-   verified too (what is in one component already needs no more links). Small buckets give such pairs directly;
-   in large ones a pair must also share one of the rarest shingles of both sets, as any pair at the threshold
-   does (prefix filter). No pair is dropped.
+   verified too (what is in one component already needs no more links). Few classes give such pairs one by one;
+   many are dealt into blocks, and blocks are compared with blocks within tasks. No pair is dropped.
 5. Components follow from union-find within partitions and star contraction between them.
 
 No group of copies meets in one task: buckets are aggregated before they are shuffled, and joined with what the
@@ -29,8 +28,9 @@ from .common import Scratch, small
 from .shingles import band_keys, set_keys, shingle_sets, super_minhash
 
 BANDS, ROWS = 40, 6
-#: Up to so many classes, a bucket of several components gives all its pairs between components.
-SMALL_BUCKET = 32
+#: Hubs of up to so many classes give their pairs one by one; blocks of the larger ones hold about so many classes
+#: and strays.
+SMALL_HUB, HUB_BLOCK, STRAY_BLOCK = 16, 256, 512
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -131,25 +131,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def _residual(scratch: Scratch, buckets: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be linked, each once."""
-    known = buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("bucket", "c")
-    known = scratch.save(known.join(split, "bucket"), "open")
-    # pairs that differ by size alone can't reach the threshold
-    apart = F.expr(f"a_part <> b_part and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    row = lambda df, x, *more: df.select(*more, F.col("node").alias(x), F.col("component").alias(f"{x}_part"), F.col("n").alias(f"{x}_n"))
-    few = known.where(F.col("c") <= SMALL_BUCKET)
-    direct = row(few, "a", "bucket").join(row(few, "b", "bucket"), "bucket").where(apart & F.expr("a < b")).select("a", "b")
-    # large buckets: the rarest shingles first; a pair at the threshold shares one among the first of both
-    many = known.where(F.col("c") > SMALL_BUCKET).select("node", "component", "n").distinct()
-    spread = many.join(sets, "node").select("node", "component", "n", F.explode("elements").alias("shingle"))
-    counts = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-    ordered = spread.join(counts, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("low") < F.col("high")).alias("split")))).alias("order"))
-    prefix = F.slice("order", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    rare = ordered.select("node", "component", "n", F.explode(prefix).alias("s")).where("s.split").select("node", "component", "n", "s.shingle")
-    filtered = row(rare, "a", "shingle").join(row(rare, "b", "shingle"), "shingle").where(apart & F.expr("a < b")).select("a", "b")
-    return direct.unionByName(filtered).distinct()
+def _block_links(asked: pa.Table, held: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between the ``asked`` and the ``held`` classes of a hub that are of different components."""
+    links: list[tuple[int, int]] = []
+    if asked.num_rows and held.num_rows:
+        sets = held["elements"].combine_chunks()
+        elements, sizes = np.asarray(sets.flatten(), np.int64), np.diff(np.asarray(sets.offsets))
+        order = np.argsort(elements, kind="stable")
+        elements, owner = elements[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        nodes, parts = np.asarray(held["node"], np.int64), np.asarray(held["component"], np.int64)
+        for node, part, own in zip(asked["node"].to_pylist(), asked["component"].to_pylist(), asked["elements"], strict=True):
+            x = np.asarray(own.values, np.int64)
+            lo, hi = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(sizes))
+            for i in np.flatnonzero((100 * shared >= percent * (sizes + len(x) - shared)) & (parts != part)):
+                links.append((node, int(nodes[i])))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def _residual(scratch: Scratch, buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that buckets hold apart.
+
+    A bucket's hub is its pivot's component; what is in the bucket but not in that component strayed. All strays of
+    a hub are compared with all classes in the hub's open buckets, so every pair that shares a bucket is.
+    """
+    own = labels.select("node", "component")
+    hubs = labels.select(F.col("node").alias("pivot"), F.col("component").alias("hub"))
+    tagged = buckets.join(own, "node", "left").join(hubs, "pivot", "left")
+    tagged = tagged.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "pivot").alias("hub"))
+    stray = tagged.where("component <> hub")
+    members = tagged.join(stray.select("bucket").distinct(), "bucket", "left_semi").select("hub", "node", "n", "component").distinct()
+    members = scratch.save(members.withColumn("stray", F.col("component") != F.col("hub")), "members")
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("stray"), 1)).alias("strays"))
+    # few: pairs, but for those with the pivot that the first round has tested
+    few = members.join(sizes.where(F.col("all") <= SMALL_HUB).select("hub"), "hub")
+    left = few.where("stray").select("hub", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"))
+    right = few.select("hub", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"), F.col("stray").alias("y_stray"))
+    apart = F.expr(f"x_part <> y_part and (x < y or not y_stray) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    pairs = left.join(right, "hub").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
+    # many: strays in blocks against classes in blocks, compared within a task
+    blocks = sizes.where(F.col("all") > SMALL_HUB).select("hub", F.ceil(F.col("all") / HUB_BLOCK).cast("int").alias("rows"), F.ceil(F.col("strays") / STRAY_BLOCK).cast("int").alias("columns"))
+    many = scratch.save(members.join(blocks, "hub").join(sets, "node"), "many")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = many.where("stray").select("hub", place("columns").alias("column"), spread("rows").alias("row"), "node", "component", "elements")
+    held = many.select("hub", spread("columns").alias("column"), place("rows").alias("row"), "node", "component", "elements")
+    key = ["hub", "row", "column"]
+    compared = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(lambda x, y: _block_links(x, y, percent), "a long, b long")
+    return links.unionByName(compared)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -177,10 +209,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     if n_nodes:
         wanted = source.join(small(nodes, n_nodes), F.col("doc_id") == F.col("node"), "left_semi")
         sets = scratch.save(wanted.mapInArrow(lambda it: _full_sets(it, shingle), "node long, elements array<long>"), "sets")
-        stars = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        stars = scratch.save(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         links = scratch.save(_linked(stars, sets, percent), "links")
         labels = components(scratch, links)
-        more = scratch.save(_linked(_residual(scratch, buckets, labels, sets, percent), sets, percent), "more")
+        more = scratch.save(_residual(scratch, buckets, labels, stars, sets, percent), "more")
+        scratch.drop("members", "many", "pairs")
         if more.count():
             labels = components(scratch, links.unionByName(more))
         scratch.drop("sets")
