@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words' hashed features (the
-word and its beginnings); a document's is the noisy-or of its sentences' scores. Only documents have labels: the
+A document is a bag of sentences. A sentence's score is a logistic function of its words' features (the word and
+its beginnings); a document's is the noisy-or of its sentences' scores. Only documents have labels: the
 gradient of the noisy-or deals a document's label out to its sentences. The sentences that score high are then
 where the document offends.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +22,12 @@ from pyspark.sql.types import DoubleType
 
 from .common import bounded_sample
 
-#: Feature buckets; lengths of the word beginnings that are features.
-BITS, PREFIXES = 20, (3, 4, 5, 6, 7)
+#: Lengths of the word beginnings that are features. Every feature starts with some HEAD code points.
+PREFIXES, HEAD = (3, 4, 5, 6, 7), 3
 #: At most so many toxic and so many other documents train the model.
 TOXIC_ROWS, OTHER_ROWS = 1500, 3000
 #: A feature needs so many documents of the sample, and so much chi-square, to be learned.
 LEAST_DOCS, LEAST_CHI2 = 4, 8.0
-#: Words whose weights a task remembers.
-MEMORY = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,52 +35,53 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    weights: np.ndarray
+    words: dict[str, float]
+    beginnings: dict[str, float]
     bias: float
     #: log-odds of a document = slope * log-odds of the noisy-or + shift
-    slope: float
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
     #: the score of every text if there is nothing to learn from
     prior: float | None = None
 
 
-def _features(word: str) -> list[int]:
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(word.encode("utf-8", "surrogatepass")) & mask, *(zlib.crc32(f"{word[:n]}~".encode("utf-8", "surrogatepass")) & mask for n in PREFIXES if len(word) >= n)]
+def _features(word: str) -> list[tuple[bool, str]]:
+    """Whether it is a beginning, and its text."""
+    return [(False, word), *((True, word[:n]) for n in PREFIXES if len(word) >= n)]
 
 
-def _words(sentence: str) -> list[str]:
-    return sorted(set(_WORD.findall(sentence.lower())))
+def _words(sentence: str) -> set[str]:
+    return set(_WORD.findall(sentence.lower()))
 
 
-class _Weights(dict):
-    """A word's weight: the sum of its features'. Forgets all when MEMORY words are in it."""
+class _Weigher:
+    """The weight of a sentence: the sum over its distinct words of their features'. Few words begin like a learned
+    feature; the others cost one look-up."""
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
+    def __init__(self, model: ToxicityModel):
+        self.model, self.heads = model, frozenset(f[:HEAD] for f in (*model.words, *model.beginnings))
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMORY:
-            self.clear()
-        x = self[word] = float(self.weights[_features(word)].sum())
-        return x
+    def word(self, word: str) -> float:
+        return self.model.words.get(word, 0.0) + sum(self.model.beginnings.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n)
+
+    def __call__(self, sentence: str) -> float:
+        heads = self.heads
+        found = {w for w in _WORD.findall(sentence.lower()) if w[:HEAD] in heads}
+        return sum(map(self.word, sorted(found))) if found else 0.0
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, features, ends): features of all sentences in a row, and where each sentence ends."""
+    """(toxic, words, ends): distinct words of all sentences in a row, and where each sentence ends."""
     for batch in batches:
-        features, ends = [], []
+        words, ends = [], []
         for text in batch["text"].to_pylist():
             at, end = [], []
             for m in _SENTENCE.finditer(text or ""):
-                for word in _words(m[0]):
-                    at += _features(word)
+                at += sorted(_words(m[0]))
                 end.append(len(at))
-            features.append(np.array(at, np.int32))
-            ends.append(np.array(end, np.int32))
-        kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(features, kind), pa.array(ends, kind)], ["toxic", "features", "ends"])
+            words.append(at)
+            ends.append(end)
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(words, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))], ["toxic", "words", "ends"])
 
 
 def _log_or(z: np.ndarray) -> float:
@@ -92,24 +90,33 @@ def _log_or(z: np.ndarray) -> float:
     return float(math.log(max(-math.expm1(none), 1e-300)) - none)
 
 
-def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, epochs: int, rate: float, seed: int) -> ToxicityModel:
-    """rows: (label, features, ends); share: of toxic documents among all labelled. Every fifth row calibrates."""
+def _fit(rows: pa.Table, share: float, epochs: int, rate: float, seed: int) -> ToxicityModel:
+    """rows: (toxic, words, ends); share: of toxic documents among all labelled. Every fifth row calibrates."""
     rng = np.random.default_rng(seed)
-    size = 1 << BITS
-    by_class = np.zeros((2, size), np.int64)
-    totals = np.array([sum(1 for r in rows if r[0] == y) for y in (0, 1)], float)
-    for y, at, _ in rows:
-        by_class[y, np.unique(at)] += 1
+    labels, lists, stops = np.asarray(rows["toxic"]), rows["words"].combine_chunks(), rows["ends"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    word_of, begins = np.asarray(coded.indices), np.asarray(lists.offsets)
+    number: dict[tuple[bool, str], int] = {}
+    of_word = [[number.setdefault(f, len(number)) for f in _features(w)] for w in coded.dictionary.to_pylist()]
+    starts = np.cumsum([0, *map(len, of_word)])
+    flat = np.array([f for fs in of_word for f in fs], np.int64)
+    bags: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+    by_class = np.zeros((2, len(number)), np.int64)
+    totals = np.array([(labels == y).sum() for y in (0, 1)], float)
+    for i, y in enumerate(labels.tolist()):
+        words, ends = word_of[begins[i] : begins[i + 1]], np.asarray(stops[i].values)
+        n = starts[words + 1] - starts[words]
+        features = flat[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        sentence = np.repeat(np.searchsorted(ends, np.arange(len(words)), side="right"), n)
+        by_class[y, np.unique(features)] += 1
+        bags.append((y, features, sentence, len(ends)))
     with np.errstate(divide="ignore", invalid="ignore"):
         n = by_class.sum(axis=0)
         expected = n * totals[1] / totals.sum()
         variance = n * (totals[1] / totals.sum()) * (totals[0] / totals.sum()) * (1 - n / totals.sum())
         learned = (n >= LEAST_DOCS) & ((by_class[1] - expected) ** 2 / variance >= LEAST_CHI2)
-    bags = []
-    for y, at, ends in rows:
-        sentence = np.searchsorted(ends, np.arange(len(at)), side="right")
-        keep = learned[at]
-        bags.append((y, at[keep], sentence[keep], len(ends)))
+    bags = [(y, at[learned[at]], sentence[learned[at]], m) for y, at, sentence, m in bags]
+    size = len(number)
     held, kept = bags[::5], [b for i, b in enumerate(bags) if i % 5] or bags
     weights, squares, bias, bias_square = np.zeros(size), np.full(size, 1e-3), -4.0, 1e-3
     balance = totals.sum() / (2 * np.maximum(totals, 1))
@@ -147,7 +154,8 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, epochs: i
         h = np.array([[(q * x * x).sum() + 1e-2, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-3]])
         step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
         slope, shift = float(np.clip(slope - 0.5 * step[0], 0.05, 5)), float(shift - 0.5 * step[1])
-    return ToxicityModel(weights.astype(np.float32), float(bias), slope, shift)
+    kept_ = [(f, float(weights[i])) for f, i in number.items() if learned[i] and weights[i]]
+    return ToxicityModel({t: w for (b, t), w in kept_ if not b}, {t: w for (b, t), w in kept_ if b}, float(bias), slope, shift)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 8, rate: float = 0.2, seed: int = 17) -> ToxicityModel:
@@ -161,22 +169,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 8, rate: fl
     known = known.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0, float(next(iter(counts), 0)))
+        return ToxicityModel({}, {}, 0.0, prior=float(next(iter(counts), 0)))
     few = bounded_sample(known, "toxic", max(TOXIC_ROWS, OTHER_ROWS), seed).withColumn("r", F.xxhash64("doc_id", F.lit(seed)))
     ids = few.where("toxic = 1").orderBy("r").limit(TOXIC_ROWS).unionByName(few.where("toxic = 0").orderBy("r").limit(OTHER_ROWS)).select("doc_id", "toxic")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    found = chosen.mapInArrow(_bags, "toxic int, features array<int>, ends array<int>").orderBy(F.xxhash64(F.hash("features"), F.lit(seed)), "toxic").toArrow().combine_chunks()
-    rows = [(y, np.asarray(a.values), np.asarray(b.values)) for y, a, b in zip(found["toxic"].to_pylist(), found["features"], found["ends"], strict=True)]
-    return _fit(rows, counts[1] / (counts[0] + counts[1]), epochs, rate, seed)
+    found = chosen.mapInArrow(_bags, "toxic int, words array<string>, ends array<int>").orderBy(F.xxhash64("words", F.lit(seed)), "toxic").toArrow()
+    return _fit(found, counts[1] / (counts[0] + counts[1]), epochs, rate, seed)
 
 
-def _judge(text: str | None, model: ToxicityModel, weight, least: float) -> tuple[float, list[dict]]:
+def _judge(text: str | None, model: ToxicityModel, weight: _Weigher, least: float) -> tuple[float, list[dict]]:
     """A text's score, and its sentences that score ``least`` or more."""
     if model.prior is not None:
         return model.prior, []
     none, spots = 0.0, []
     for m in _SENTENCE.finditer(text or ""):
-        z = model.bias + sum(map(weight, _words(m[0])))
+        z = model.bias + weight(m[0])
         none -= z if z > 30 else math.log1p(math.exp(z))
         if z > 0 and (p := 1 / (1 + math.exp(-min(z, 40.0)))) >= least:
             spots.append({"start": m.start(), "end": m.end(), "score": p})
@@ -185,7 +192,7 @@ def _judge(text: str | None, model: ToxicityModel, weight, least: float) -> tupl
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, least: float) -> Iterator[pa.RecordBatch]:
-    weight = _Weights(model.weights).__getitem__
+    weight = _Weigher(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for batch in batches:
         judged = [_judge(text.as_py(), model, weight, least) for text in batch["text"]]
@@ -198,7 +205,7 @@ def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel) -> Colu
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weight = _Weights(shared.value.weights).__getitem__
+        weight = _Weigher(shared.value)
         for texts in batches:
             yield texts.map(lambda t: _judge(t, shared.value, weight, 1.0)[0]).astype("float64")
 
