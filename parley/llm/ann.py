@@ -148,8 +148,7 @@ def _place(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), part["vec_id"].take(take), part["embedding"].take(take)], ["list", "vec_id", "embedding"])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    blocks = -(-sizes // BLOCK)
+def _ask(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex, sizes: np.ndarray, blocks: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = matrix(batch["embedding"], dim)
         row, of, block = [], [], []
@@ -221,10 +220,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in lists.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
-    blocks = F.element_at(F.array(*(F.lit(int(b)) for b in np.maximum(1, -(-sizes // BLOCK)))), F.col("list") + 1)
-    held = lists.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), blocks).cast("int") if sizes.max() > BLOCK else F.lit(0))
+    blocks = np.maximum(1, -(-sizes // BLOCK))
+    of_list = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("list") + 1)
+    held = lists.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), of_list).cast("int") if sizes.max() > BLOCK else F.lit(0))
     asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = asking.mapInArrow(lambda it: _ask(it, dim, shared.value, sizes, 4 * (k + 1)), "list int, block int, query_id long, embedding array<double>")
+    asked = asking.mapInArrow(lambda it: _ask(it, dim, shared.value, sizes, blocks, 4 * (k + 1)), "list int, block int, query_id long, embedding array<double>")
     found = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInArrow(lambda a, b: _compare(a, b, dim, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
