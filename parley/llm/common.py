@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most three numbers that may be broadcast; at 24 bytes each, 12 MB.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch, beyond which it takes no further row.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of about BATCH_BYTES, so that a worker's memory depends on the longest
+    text and not on Spark's 10,000 rows a batch. A session that has set a bound itself keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder. A written table cuts the lineage and outlives lost executors.
 

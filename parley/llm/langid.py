@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 
 UNKNOWN = "und"
 #: Hash buckets (a power of two), embedding size, and the subwords' lengths.
@@ -123,6 +123,7 @@ def train_language_model(docs: DataFrame, epochs: int = 5, rate: float = 1.0, se
 
     At most SAMPLE_ROWS of them train it, an equal share for each language: those with the smallest hashes.
     """
+    bound_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     langs = tuple(sorted(r["lang"] for r in known.select("lang").distinct().limit(SAMPLE_ROWS).collect()))
     if not langs:
@@ -162,6 +163,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: LanguageModel
     prediction under the model's threshold is rejected: it stays in ``lang_pred``, as the likeliest. Repeated rows
     get equal results; other columns are ignored. Nothing is shuffled; the model's size is fixed.
     """
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _predict(it, shared.value), "doc_id long, lang_pred string, score double, rejected boolean")

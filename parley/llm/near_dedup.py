@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, bound_batches, small
 from .shingles import band_keys, set_keys, shingle_sets, super_minhash
 
 BANDS, ROWS = 40, 6
@@ -59,7 +59,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bucket, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
 
 
-def _portions(full: np.ndarray, sizes: np.ndarray, most: int = 1 << 16) -> Iterator[np.ndarray]:
+def _portions(full: np.ndarray, sizes: np.ndarray, most: int = 1 << 14) -> Iterator[np.ndarray]:
     ends, lo = np.cumsum(sizes[full]), 0
     while lo < len(full):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
@@ -195,6 +195,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     linked with nothing, has no component and is kept. Texts are read whole, however long. An empty table gives no
     rows; other columns are ignored.
     """
+    bound_batches(spark)
     scratch = Scratch(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(source.mapInArrow(lambda it: _sign(it, shingle, bands, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "signed")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, bound_batches, small
 
 TOKENS = "doc_id long, part int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -91,6 +91,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int
     an empty table gives no pieces; other columns are ignored, whatever their names. A text longer than a
     sequence spans several. The order is that of the table as Spark read it.
     """
+    bound_batches(spark)
     scratch = Scratch(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = scratch.save(source.mapInArrow(lambda it: _tokenize(it, tokenizer_path, end_id), TOKENS), "tokens")

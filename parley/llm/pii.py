@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .common import bound_batches
+
 BASE = ("email", "ip", "card", "phone")
 #: After the base kinds, those the anchors add.
 KINDS = (*BASE, "url", "iban", "account")
@@ -160,11 +162,13 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
     Null and empty texts have no spans (an empty string). Rows are independent, so repeated rows get equal
     results and other columns are untouched; a column named ``out`` is replaced. Nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, _spans(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; null stays null."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(text, _redact(F.col(text).cast("string")))
 
 

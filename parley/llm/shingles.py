@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text that are hashed at once (a longer text alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 
 #: Lengths of the word beginnings that are features. Every feature starts with some HEAD code points.
 PREFIXES, HEAD = (3, 4, 5, 6, 7), 3
@@ -100,22 +100,24 @@ def _fit(rows: pa.Table, share: float, epochs: int, rate: float, seed: int) -> T
     of_word = [[number.setdefault(f, len(number)) for f in _features(w)] for w in coded.dictionary.to_pylist()]
     starts = np.cumsum([0, *map(len, of_word)])
     flat = np.array([f for fs in of_word for f in fs], np.int64)
-    bags: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-    by_class = np.zeros((2, len(number)), np.int64)
     totals = np.array([(labels == y).sum() for y in (0, 1)], float)
-    for i, y in enumerate(labels.tolist()):
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """A row's features, the sentence of each, and its number of sentences."""
         words, ends = word_of[begins[i] : begins[i + 1]], np.asarray(stops[i].values)
         n = starts[words + 1] - starts[words]
         features = flat[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        sentence = np.repeat(np.searchsorted(ends, np.arange(len(words)), side="right"), n)
-        by_class[y, np.unique(features)] += 1
-        bags.append((y, features, sentence, len(ends)))
+        return features, np.repeat(np.searchsorted(ends, np.arange(len(words)), side="right"), n), len(ends)
+
+    by_class = np.zeros((2, len(number)), np.int64)
+    for i, y in enumerate(labels.tolist()):
+        by_class[y, np.unique(bag(i)[0])] += 1
     with np.errstate(divide="ignore", invalid="ignore"):
         n = by_class.sum(axis=0)
         expected = n * totals[1] / totals.sum()
         variance = n * (totals[1] / totals.sum()) * (totals[0] / totals.sum()) * (1 - n / totals.sum())
         learned = (n >= LEAST_DOCS) & ((by_class[1] - expected) ** 2 / variance >= LEAST_CHI2)
-    bags = [(y, at[learned[at]], sentence[learned[at]], m) for y, at, sentence, m in bags]
+    bags = [(y, at[learned[at]], sentence[learned[at]], m) for y, (at, sentence, m) in zip(labels.tolist(), map(bag, range(len(labels))), strict=True)]
     size = len(number)
     held, kept = bags[::5], [b for i, b in enumerate(bags) if i % 5] or bags
     weights, squares, bias, bias_square = np.zeros(size), np.full(size, 1e-3), -4.0, 1e-3
@@ -165,6 +167,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 8, rate: fl
     repeated id count as toxic if one does; null ids and labels are left out. If one class is missing, the model
     gives every text the other's label as its score (0 without any label).
     """
+    bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -201,6 +204,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, least: float
 
 def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel) -> Column:
     """The score of a text column, for rows that keep all their other columns."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
@@ -219,6 +223,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: ToxicityModel, l
     Null and empty texts have no sentence and get the lowest score. Repeated rows get equal results; other columns
     are ignored. Nothing is shuffled; the model's size is fixed.
     """
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, shared.value, least), "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
