@@ -83,7 +83,14 @@ def fold_of(doc_id: Column, n: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` rows of each value of ``by``: those whose keys' hashes are smallest. Each task passes
-    on no more than that, so a frequent value does not land whole in one task."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return df.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= per_class).drop("sample_rank")
+    """(by, key), each pair once: at most ``per_class`` keys of each value of ``by``, those with the smallest hashes.
+
+    Only hashes under a value's threshold are shuffled and ranked, about four times what is wanted: so a value's
+    task gets as many rows however frequent the value is, and no key counts twice. Null values and keys are left out.
+    """
+    rows = df.select(by, key).where(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("sample_hash", F.xxhash64(key, F.lit(seed)))
+    sizes = rows.groupBy(F.col(by).alias("sample_by")).agg(F.approx_count_distinct(key).alias("sample_n"))
+    place = F.col("sample_hash") / 2.0**64 + 0.5
+    near = rows.join(small(sizes, sizes.count()), F.col(by) == F.col("sample_by")).where(place * F.col("sample_n") < 4.0 * per_class + 1000).select(by, key, "sample_hash").distinct()
+    order = Window.partitionBy(by).orderBy("sample_hash", key)
+    return near.withColumn("sample_rank", F.row_number().over(order)).where(F.col("sample_rank") <= per_class).select(by, key)
