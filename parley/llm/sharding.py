@@ -63,7 +63,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8, rou
             F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
             F.when(text.isNotNull(), F.xxhash64(text)).alias("h1"),
             F.when(text.isNotNull(), F.xxhash64(F.lit(seed), text)).alias("h2"),
-        ).withColumn("u", F.xxhash64("doc_id", "h1", "h2", F.lit(seed))),
+        ).withColumn("u", F.xxhash64("doc_id", "h1", "h2", F.monotonically_increasing_id(), F.lit(seed))),
         "base",
     )
     groups = base.where("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", F.lit(True).alias("linked"))
