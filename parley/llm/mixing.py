@@ -80,4 +80,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     exploded = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     key = F.md5(F.concat_ws(":", F.lit("order"), ident, F.col("mix_copy").cast("string"), F.lit(str(seed))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return exploded.withColumn("mix_key", key).repartition(n, "mix_key").sortWithinPartitions("mix_key")
+    # the text too, so that rows that share an id don't share a partition
+    apart = [F.xxhash64("text")] if "text" in names else []
+    return exploded.withColumn("mix_key", key).repartition(n, "mix_key", *apart).sortWithinPartitions("mix_key")
