@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parley.llm import ann, common, mixing, near_dedup, pii, queries, sharding, shingles, topk
@@ -208,6 +209,20 @@ def test_mixing(spark):
     assert clash["n"] == 1 and clash["mix_rate"] != 3
 
 
+def test_mixing_texts_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a", f"t{i}") for i in range(400)], "doc_id long, source string, text string")
+    got = mixing.mix(docs).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["mix_copies"] for r in got}) <= 1 and (not got or len({r["part"] for r in got}) > 1)
+
+
+def test_bounded_sample(spark):
+    rows = [("a", i) for i in range(9000)] + [("a", 3)] * 4000 + [("b", i) for i in range(40)] * 2 + [("c", None), (None, 5)]
+    frame = spark.createDataFrame(rows, "kind string, doc_id long").repartition(6)
+    got = sorted((r["kind"], r["doc_id"]) for r in common.bounded_sample(frame, "kind", 100, 17).collect())
+    ordered = frame.where("kind = 'a'").select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).distinct().orderBy("h").limit(100).collect()
+    assert got == sorted([("a", r["doc_id"]) for r in ordered] + [("b", i) for i in range(40)])
+
+
 def check_shards(rows, texts, n_shards=8):
     assert len(rows) == len(texts)
     by_shard = defaultdict(list)
@@ -237,6 +252,14 @@ def test_sharding(spark):
     assert len(where) == 60 and all(len(s) == 1 for s in where.values())  # no group is cut
 
 
+def test_sharding_rows_that_agree_in_all(spark):
+    texts = [(7, "one and the same")] * 500 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(100, 150)]
+    rows = sharding.shard_documents(spark, spark.createDataFrame(texts, KIND).repartition(3)).collect()
+    loads = check_shards(rows, texts)
+    assert max(loads) - min(loads) < 0.1 * sum(loads) / 8
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) > 1
+
+
 def test_sharding_a_group_larger_than_a_shard(spark):
     texts = [(i, "the same text") for i in range(900)] + [(1000 + i, f"other {i:05d}...") for i in range(900)] + [(None, None)] * 3 + [(5, "again"), (5, "again")]
     rows = sharding.shard_documents(spark, spark.createDataFrame(texts, KIND)).collect()
