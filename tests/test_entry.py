@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -37,3 +42,18 @@ def test_document_scan(spark):
 
 def test_every_query_is_registered():
     assert set(core.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    root = Path(entry.__file__).resolve().parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", __spark_entry__.queries()["chat_fold"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 48" in done.stdout, done.stderr[-2000:]
