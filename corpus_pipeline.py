@@ -33,22 +33,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = near_dedup.near_duplicates(spark, docs, shingle=5, percent=80)
     gone = Scratch(spark).save(groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    left = docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    left = docs.alias("d").join(small(gone, gone.count()).alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
     return once(spark, left)
 
 
 def once(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of those that agree in id and text. Only ids and hashes are shuffled to find them."""
-    h = F.xxhash64("text")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id"), h.alias("again_text")).count().where("count > 1")
-    again = Scratch(spark).save(again.select("again_id", "again_text"), "again")
+    pairs = docs.where("doc_id is not null").select(F.col("doc_id").alias("again_id"), F.xxhash64("text").alias("again_text"))
+    again = Scratch(spark).save(pairs.groupBy("again_id", "again_text").count().where("count > 1").select("again_id", "again_text"), "again")
     n = again.count()
     if not n:
         return docs
-    same = (F.col("doc_id") == F.col("again_id")) & (h == F.col("again_text"))
-    alone = docs.join(small(again, n), same, "left_anti")
+    same = (F.col("d.doc_id") == F.col("g.again_id")) & (F.xxhash64("d.text") == F.col("g.again_text"))
+    alone = docs.alias("d").join(small(again, n).alias("g"), same, "left_anti")
     row = F.struct(*(F.col(c) for c in docs.columns))
-    first = docs.join(small(again, n), same, "left_semi").groupBy("doc_id", h).agg(F.min(row).alias("first_row"))
+    repeated = docs.alias("d").join(small(again, n).alias("g"), same, "left_semi").select(row.alias("row"))
+    # as JSON a row can be compared whatever its columns' types are
+    first = repeated.groupBy("row.doc_id", F.xxhash64("row.text")).agg(F.min_by("row", F.to_json("row")).alias("first_row"))
     return alone.unionByName(first.select(*(F.col(f"first_row.{c}").alias(c) for c in docs.columns)))
 
 
@@ -60,7 +61,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows replicated so that a source's share follows the square root of its size, in random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    own = [c for c in docs.columns if c.lower().startswith("mix_")]
+    if not own:
+        return mixing.mix(docs).select(*docs.columns)
+    held = "held_" + "_".join(docs.columns)  # longer than any column's name
+    apart = docs.select(*(c for c in docs.columns if c not in own), F.struct(*own).alias(held))
+    return mixing.mix(apart).select(*(F.col(f"{held}.{c}") if c in own else F.col(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

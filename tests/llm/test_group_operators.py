@@ -336,6 +336,24 @@ def test_stage_packing(spark, stages):
     assert sizes == Counter(i for i, _ in rows_of(stages[4]))
 
 
+def test_stages_of_odd_tables(spark):
+    """Empty tables, and columns whose names and types stages use inside or can't compare."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), SF).count() == 0
+    clash = ["gone_id", "again_id", "again_text", "row", "first_row", "count", "score", "node", "mix_rate", "mix_extra"]
+    docs = plain.limit(30).select("*", *(F.lit(i).alias(c) for i, c in enumerate(clash)), F.create_map(F.lit("a"), "doc_id").alias("map"))
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF).collect()
+        assert out
+        if k < 4:
+            assert out[0].__fields__ == docs.columns
+            assert all(r[c] == i for r in out for i, c in enumerate(clash)) and all(r["map"] == {"a": r["doc_id"]} for r in out)
+        if k == 1:
+            assert len({r["doc_id"] for r in out}) == len(out)
+
+
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:3] == ["doc_id", "start", "length"] and rows.count() > 0
