@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs (lines that aren't blank) with a cue are described by their word 1- and 2-grams; a multinomial logistic
+Paragraphs (lines that aren't blank) are described by their word 1- and 2-grams; a multinomial logistic
 regression with an unknown class names the family. It is trained in numpy on cut-outs of TEMPLATES, on sentences
 that merely talk about licences, and on a bounded sample of ordinary paragraphs; a temperature and the least
 probability of a known family are calibrated on cut-outs held back. A prediction counts once a template of the
-family shares enough word pairs with the paragraph.
+family shares enough word pairs with the paragraph. So what shares no pair with any template can't be confirmed: it
+is classified only if it has a cue, for its probability.
 
 Scanning uses DataFrame functions only. Each distinct paragraph is classified once, however often it occurs.
 """
@@ -86,7 +87,7 @@ OTHERS = [
     "The Apache helicopter landed near the village.",
     "The gnu grazed on the plain at dawn.",
 ]
-#: Lower-case marks one of which a paragraph must hold to be classified.
+#: Lower-case marks of paragraphs that may talk about licences; others are classified if they share a word pair with a template.
 CUES = ("licen", "copyright", "permission", "warrant", "redistribut", "gnu ", "apache", "mozilla", "creative commons", "public domain", "all rights", " mpl ", "cc by", "cc-by")
 #: Documents and paragraphs of the sample; variants of a template.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, VARIANTS = 300, 400, 14
@@ -154,13 +155,25 @@ def fit_licenses(paragraphs: list[str], seed: int = 17) -> LicenseModel:
     return LicenseModel(classes, grams, weights.astype(np.float64).round(6), bias.astype(np.float64).round(6), round(temperature, 6), least)
 
 
+def template_pairs() -> list[str]:
+    return sorted({f"{a} {b}" for ts in TEMPLATES.values() for ws in map(words_of, ts) for a, b in zip(ws, ws[1:], strict=False)})
+
+
+def _cut_out(paragraph: str, known: frozenset[str]) -> bool:
+    """Whether half of the word pairs of five words or more are ``known`` ones of templates."""
+    words = words_of(paragraph)
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    return len(words) > 4 and 2 * len(pairs & known) >= len(pairs)
+
+
 def train_licenses(docs: DataFrame, seed: int = 17) -> LicenseModel:
-    """A model; ordinary paragraphs without cues come from SAMPLE_DOCS documents, SAMPLE_PARAGRAPHS at most."""
+    """A model; ordinary paragraphs, without cues and no pieces of templates, come from SAMPLE_DOCS documents, SAMPLE_PARAGRAPHS at most."""
     known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     ids = bounded_sample(known.select("doc_id", F.lit(0).alias("all")), "all", SAMPLE_DOCS, seed).select("doc_id")
     few = known.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     lines = few.select(F.explode(paragraphs_of(F.col("text"))).alias("p")).where(~has_cue(F.lower("p")))
-    return fit_licenses([r["p"] for r in lines.orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(SAMPLE_PARAGRAPHS).collect()], seed)
+    sample, pairs = lines.orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(SAMPLE_PARAGRAPHS).collect(), frozenset(template_pairs())
+    return fit_licenses([r["p"] for r in sample if not _cut_out(r["p"], pairs)], seed)
 
 
 def paragraphs_of(text: Column) -> Column:
@@ -174,12 +187,18 @@ def has_cue(lowered: Column) -> Column:
     return found
 
 
+def shares_pair(paragraph: Column) -> Column:
+    """Whether a template has one of the paragraph's word pairs."""
+    return F.arrays_overlap(_pairs(_words(paragraph), distinct=False), F.array(*map(F.lit, template_pairs())))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _pairs(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
+def _pairs(words: Column, distinct: bool = True) -> Column:
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, F.array_distinct(pairs) if distinct else pairs).otherwise(F.array().cast("array<string>"))
 
 
 def classify_paragraphs(spark: SparkSession, paragraphs: DataFrame, model: LicenseModel, shared: float = 0.5) -> DataFrame:
@@ -211,18 +230,19 @@ def classify_paragraphs(spark: SparkSession, paragraphs: DataFrame, model: Licen
 def scan_licenses(spark: SparkSession, docs: DataFrame, model: LicenseModel) -> DataFrame:
     """(doc_id, n_paragraphs, n_cued, n_confirmed, families, probability) of every row's whole text.
 
-    ``families`` are the confirmed ones, sorted and comma-joined; ``probability`` is the largest of a known family.
-    Null, empty and blank texts have no paragraphs (empty families, probability 0), and so has a text without cues no cued one. Rows that
-    agree in id and text get equal results; a null id is a value like others. Other columns are ignored. A
+    ``families`` are the confirmed ones of all paragraphs, sorted and comma-joined; ``n_cued`` counts the paragraphs with a
+    cue. ``probability`` is the largest of a known family among the paragraphs that have a cue or share a word pair
+    with a template; no other can be confirmed. Null, empty and blank texts have no paragraphs (empty families,
+    probability 0). Rows that agree in id and text get equal results; a null id is a value like others. Other columns are ignored. A
     paragraph may be any length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    cued = rows.where(has_cue(F.lower("text"))).select("doc_id", "h", F.posexplode(paragraphs_of(F.col("text"))).alias("at", "paragraph"))
-    cued = cued.where(has_cue(F.lower("paragraph"))).dropDuplicates(["doc_id", "h", "at"])
-    found = cued.join(classify_paragraphs(spark, cued, model), "paragraph")
+    lines = rows.select("doc_id", "h", F.posexplode(paragraphs_of(F.col("text"))).alias("at", "paragraph")).withColumn("cued", has_cue(F.lower("paragraph")))
+    tried = lines.where(F.col("cued") | shares_pair(F.col("paragraph"))).dropDuplicates(["doc_id", "h", "at"])
+    found = tried.join(classify_paragraphs(spark, tried, model), "paragraph")
     by_doc = found.groupBy("doc_id", "h").agg(
-        F.count(F.lit(1)).alias("n_cued"),
+        F.count_if("cued").alias("n_cued"),
         F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
         F.max("probability").alias("probability"),

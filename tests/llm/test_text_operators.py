@@ -236,5 +236,27 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(spark, odd.limit(0), model).count() == 0
 
 
+def test_licenses_without_cues(spark, monkeypatch):
+    """Pieces of templates that hold no cue, and notices that are no templates, against all paragraphs' decisions."""
+    model = licenses.train_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    pieces = {
+        1: "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential.",
+        2: "of this software and associated documentation files, to deal in the Software without restriction",
+        3: "Released under GPL-3.0.",
+        4: "Distributed under the terms of GPL-3.0, see the file COPYING.",
+        5: "This file is part of the report.",
+    }
+    cut = [w[at : at + n] for ts in licenses.TEMPLATES.values() for t in ts for w in [t.split()] for n in (5, 8, 12) for at in range(0, max(1, len(w) - n), 3)]
+    texts = [*pieces.items(), *((10 + i, f"before\n{' '.join(words)}\nafter") for i, words in enumerate(cut))]
+    texts = [(i, t) for i, t in texts if not any(c in t.lower() for c in licenses.CUES)]
+    assert len(texts) > 30
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark, spark.createDataFrame(texts, KIND), model).collect()}
+    assert {r["n_cued"] for r in got.values()} == {0}
+    assert (got[1]["families"], got[2]["families"]) == ("proprietary", "mit")
+    assert all(got[i]["probability"] > 0 for i in pieces) and not any(got[i]["families"] for i in (3, 4, 5))
+    monkeypatch.setattr(licenses, "CUES", ("",))
+    assert {i: r["families"] for i, r in got.items()} == {i: plain_scan(t, model)[1] for i, t in texts}
+
+
 def test_arrow_is_there():
     assert int(pa.__version__.split(".")[0]) >= 15
