@@ -69,6 +69,23 @@ def _iban_holds(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, at: int) -> int:
+    """Where the longest IBAN that starts at ``at`` and passes its check ends; 0 if none does.
+
+    Ends between words are tried first, so that part of a next word isn't taken by chance.
+    """
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    ends, n = [], 0
+    for i in range(at, m.end()):
+        n += text[i] != " "
+        if n >= 15 and text[i] != " ":
+            ends.append(i + 1)
+    whole = [e for e in ends if not text[e : e + 1].isalnum()]
+    return next((e for e in (*reversed(whole), *reversed(ends)) if _iban_holds(text[at:e])), 0)
+
+
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order. The base kinds are leftmost and don't overlap within a kind; a match that
     fails its check is dropped and its text is not tried again for that kind."""
@@ -117,9 +134,9 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
                     end["url"] = stop
         elif at >= end["account"] and not (at and text[at - 1].isalnum()):
             if m := re.compile(r"[\s:=#]{0,4}").match(text, last + 1):
-                if (i := _IBAN.match(text, m.end())) and _iban_holds(i[0]):
-                    spans.append((i.start(), i.end(), 5))
-                    end["account"] = i.end()
+                if stop := _iban_end(text, m.end()):
+                    spans.append((m.end(), stop, 5))
+                    end["account"] = stop
                 elif (v := _VALUE.match(text, last + 1)) and any(c.isdigit() for c in v[1]):
                     stop = v.end(1)
                     while text[stop - 1] in "./+-":

@@ -258,5 +258,14 @@ def test_licenses_without_cues(spark, monkeypatch):
     assert {i: r["families"] for i, r in got.items()} == {i: plain_scan(t, model)[1] for i, t in texts}
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFF", " Please pay", " 2024", " A", "", ".", " 1", "X"])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19"])
+def test_iban_before_capitals_and_digits(iban, after):
+    text = f"IBAN: {iban}{after}"
+    assert (6, 6 + len(iban), "iban") in pii.spans_of(text)
+    assert pii.redacted(text).startswith("IBAN: <IBAN>")
+    assert not any(k == "iban" for _, _, k in pii.spans_of("IBAN: DE88 3704 0044 0532 0130 00 BIC COBADEFF"))
+
+
 def test_arrow_is_there():
     assert int(pa.__version__.split(".")[0]) >= 15
