@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over each text finds anchors: at-signs, plus signs, digits, schemes and identifier cues.
+One Aho-Corasick pass over each lowered text finds anchors: at-signs, plus signs, digits, schemes and identifier cues.
 Local parsers expand an anchor to a span and validate it. A span is ``kind:start:end`` in code points, end
 exclusive; a text's spans are one comma-joined string in order of start, then of ``KINDS``.
 """
@@ -45,12 +45,17 @@ def _anchors():
     for mark, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         found.add_word(mark, (kind, len(mark)))
     for cue in CUES:
-        for form in (cue, cue.capitalize(), cue.title(), cue.upper()):
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case, with as many code points: those whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -93,7 +98,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
         return []
     spans: list[tuple[int, int, int]] = []
     end = dict.fromkeys(("email", "ip", "card", "phone", "url", "account"), 0)
-    for last, (kind, n) in _anchors().iter(text):
+    for last, (kind, n) in _anchors().iter(_lowered(text)):
         at = last - n + 1
         if kind == "digit":
             if at >= end["card"]:

@@ -267,5 +267,14 @@ def test_iban_before_capitals_and_digits(iban, after):
     assert not any(k == "iban" for _, _, k in pii.spans_of("IBAN: DE88 3704 0044 0532 0130 00 BIC COBADEFF"))
 
 
+@pytest.mark.parametrize("before", ["", "\u0130\u0130 \U0001f600 "])
+@pytest.mark.parametrize("cue", ["API key", "Api Key", "User ID", "Customer ID", "user ID", "customer ID", "API_key", "passWord", "iBAN"])
+def test_cues_whatever_their_case(cue, before):
+    text = f"{before}{cue}: 9f8e7d6c5b and more"
+    at = len(before) + len(cue) + 2
+    assert pii.spans_of(text) == [(at, at + 10, "account")]
+    assert pii.redacted(text) == f"{before}{cue}: <ACCOUNT> and more"
+
+
 def test_arrow_is_there():
     assert int(pa.__version__.split(".")[0]) >= 15
