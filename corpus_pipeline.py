@@ -29,14 +29,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 on five-word shingles reach: the one with the smallest id.
 
-    Texts without words and rows without an id stay. Of rows that agree in id and text, one stays.
+    Texts without words and rows without an id stay. Of rows that agree in id and text, one stays. Different texts of
+    one id are documents of their own, in order of their hashes.
     """
+    scratch = Scratch(spark)
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").alias("part_id"), F.xxhash64("text").alias("part_text"))
+    if not hashed.groupBy("part_id").agg(F.min("part_text").alias("a"), F.max("part_text").alias("b")).where("a < b").isEmpty():
+        return once(spark, _without_copies(scratch, docs, hashed))
     groups = near_dedup.near_duplicates(spark, docs, shingle=5, percent=80)
-    gone = Scratch(spark).save(groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = scratch.save(groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     left = docs.alias("d").join(small(gone, gone.count()).alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
     return once(spark, left)
 
 
+def _without_copies(scratch: Scratch, docs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates, each pair of id and text hash under a number of its own that grows with the id."""
+    spark = scratch.spark
+    parts = scratch.save(hashed.distinct().orderBy("part_id", "part_text").withColumn("part", F.monotonically_increasing_id()), "parts")
+    same = (F.col("d.doc_id") == F.col("p.part_id")) & (F.xxhash64("d.text") == F.col("p.part_text"))
+    numbered = docs.alias("d").join(parts.alias("p"), same).select(F.col("p.part").alias("doc_id"), F.col("d.text").alias("text"))
+    groups = near_dedup.near_duplicates(spark, scratch.save(numbered, "numbered"), shingle=5, percent=80)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("part")).distinct()
+    gone = scratch.save(parts.join(dropped, "part").select("part_id", "part_text"), "gone_parts")
+    return docs.alias("d").join(small(gone, gone.count()).alias("p"), same, "left_anti")
+
+
 def once(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of those that agree in id and text. Only ids and hashes are shuffled to find them."""
     pairs = docs.where("doc_id is not null").select(F.col("doc_id").alias("again_id"), F.xxhash64("text").alias("again_text"))

@@ -314,6 +314,14 @@ def test_stage_near_duplicates(stages):
     assert len(after) < len(before)
 
 
+@pytest.mark.parametrize("change", ["", " and one more word"])
+def test_texts_of_one_id_are_dropped_apart(spark, change):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(3, a), (5, a + change), (5, b), (7, b + change), (8, None), (8, "alone with its id"), (None, a), (3, a)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, KIND), SF)
+    assert Counter(rows_of(left)) == Counter([(3, a), (5, b), (8, None), (8, "alone with its id"), (None, a)])
+
+
 def test_stage_personal_data(stages):
     plain = Counter((i, pii.redacted(t)) for i, t in rows_of(stages[2]))
     assert Counter(rows_of(stages[3])) == plain
