@@ -24,6 +24,7 @@ KINDS = (*BASE, "url", "iban", "account")
 CUES = ("account", "acct", "iban", "passport", "customer id", "user id", "api key", "api_key", "token", "secret", "password")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IN_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -129,7 +130,10 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     spans.append((at, m.end(), 3))
         elif kind == "scheme":
-            m, tail = _SCHEME.search(text, max(end["url"], at - 20), at), _AUTHORITY.match(text, at + 3)
+            lo = at
+            while lo > end["url"] and text[lo - 1] in _IN_SCHEME:
+                lo -= 1
+            m, tail = _SCHEME.search(text, lo, at), _AUTHORITY.match(text, at + 3)
             if m and tail:
                 stop = tail.end()
                 while stop > at + 3 and text[stop - 1] in ".,;:!?)":

@@ -276,5 +276,11 @@ def test_cues_whatever_their_case(cue, before):
     assert pii.redacted(text) == f"{before}{cue}: <ACCOUNT> and more"
 
 
+def test_long_schemes():
+    url = "com.example.mobile.application.callback+v2://open/x1"
+    assert pii.spans_of(f"see {url}, then {url}.") == [(4, 4 + len(url), "url"), (11 + len(url), 11 + 2 * len(url), "url")]
+    assert pii.spans_of(f"{'9' * 30}{url}")[-1][1:] == (30 + len(url), "url")
+
+
 def test_arrow_is_there():
     assert int(pa.__version__.split(".")[0]) >= 15
