@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +29,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees what finished plans held. Spark removes their broadcasts and shuffle files, on the executors too, once
+    the driver's JVM collects the plans; a driver that has heap to spare would leave them there for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder. A written table cuts the lineage and outlives lost executors.
 
@@ -36,18 +44,20 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths, self.saved = spark, f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}", {}, 0
         atexit.register(self.clear)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path, self.saved = f"{self.root}/{name}-{self.saved}", self.saved + 1
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Removes those of the tables that were saved."""
         for name in names:
-            self._delete(self.paths[name])
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
 
     def clear(self) -> None:
         try:

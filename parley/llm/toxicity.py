@@ -9,6 +9,7 @@ where the document offends.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import bound_batches, bounded_sample
+from .common import Scratch, bound_batches, bounded_sample
 
 #: Lengths of the word beginnings that are features. Every feature starts with some HEAD code points.
 PREFIXES, HEAD = (3, 4, 5, 6, 7), 3
@@ -164,20 +165,33 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 8, rate: fl
     """A model from the documents that ``labels`` (doc_id, toxic) marks.
 
     At most TOXIC_ROWS toxic and OTHER_ROWS other documents train it: those with the smallest hashes. Labels of a
-    repeated id count as toxic if one does; null ids and labels are left out. If one class is missing, the model
+    repeated id count as toxic if one does, and one of its texts is used; null ids and labels are left out. If one class is missing, the model
     gives every text the other's label as its score (0 without any label).
     """
     bound_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi")
+    scratch = Scratch(docs.sparkSession)
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = scratch.save(marked.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi"), "known")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return ToxicityModel({}, {}, 0.0, prior=float(next(iter(counts), 0)))
     few = bounded_sample(known, "toxic", max(TOXIC_ROWS, OTHER_ROWS), seed).withColumn("r", F.xxhash64("doc_id", F.lit(seed)))
     ids = few.where("toxic = 1").orderBy("r").limit(TOXIC_ROWS).unionByName(few.where("toxic = 0").orderBy("r").limit(OTHER_ROWS)).select("doc_id", "toxic")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    found = chosen.mapInArrow(_bags, "toxic int, words array<string>, ends array<int>").orderBy(F.xxhash64("words", F.lit(seed)), "toxic").toArrow()
-    return _fit(found, counts[1] / (counts[0] + counts[1]), epochs, rate, seed)
+    text = F.col("text").cast("string")
+    # of several texts of an id, the one with the smallest hash
+    chosen = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    bags = chosen.select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>, ends array<int>")
+    share = counts[1] / (counts[0] + counts[1])
+    # the sample is of bounded size, so one task fits it; only the model comes to the driver
+    sample = bags.repartition(1).sortWithinPartitions(F.xxhash64("words", F.lit(seed)), "toxic")
+    model = pickle.loads(sample.mapInArrow(lambda it: _fit_batches(it, share, epochs, rate, seed), "model binary").first()["model"])
+    scratch.drop("known")
+    return model
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch], share: float, epochs: int, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
+    model = _fit(pa.Table.from_batches(batches), share, epochs, rate, seed)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _judge(text: str | None, model: ToxicityModel, weight: _Weigher, least: float) -> tuple[float, list[dict]]:
