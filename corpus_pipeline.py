@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import mixing, near_dedup, packing, pii, toxicity
-from parley.llm.common import Scratch, read_table, small
+from parley.llm.common import Scratch, let_go, read_table, small
 from parley.llm.queries import tokenizer_path
 
 #: A document goes from this score on.
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id and a text have one score; null and empty texts stay.
     """
+    let_go(spark)
     model = toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return docs.where(toxicity.toxic_score(spark, F.col("text"), model) < TOXIC)
 
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words and rows without an id stay. Of rows that agree in id and text, one stays. Different texts of
     one id are documents of their own, in order of their hashes.
     """
+    let_go(spark)
     scratch = Scratch(spark)
     hashed = docs.where("doc_id is not null").select(F.col("doc_id").alias("part_id"), F.xxhash64("text").alias("part_text"))
     if not hashed.groupBy("part_id").agg(F.min("part_text").alias("a"), F.max("part_text").alias("b")).where("a < b").isEmpty():
@@ -72,12 +74,14 @@ def once(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with personal data replaced by its kind; ``n_chars`` is that of the new text."""
+    let_go(spark)
     clean = pii.redact_pii(docs)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows replicated so that a source's share follows the square root of its size, in random order."""
+    let_go(spark)
     own = [c for c in docs.columns if c.lower().startswith("mix_")]
     if not own:
         return mixing.mix(docs).select(*docs.columns)
@@ -88,6 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 ids."""
+    let_go(spark)
     pieces = packing.pack(spark, docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
