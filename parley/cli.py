@@ -34,13 +34,14 @@ def chat(content: str, backend: Backend, lines: Iterable[str], out: TextIO, err:
     print("Ask about the document (exit to leave).\n", file=out)
     talk = Conversation([{"role": "system", "content": build_system_prompt(content)}])
     for line in lines:
-        o = ask(talk, line, backend)
+        # the line stays open while the model is asked
+        o = ask(talk, line, backend, asking=lambda n: print(f"[{n} messages] asking ... ", end="", file=out, flush=True))
         if talk.ended:
             print("Goodbye.", file=out)
             break
         if o is None:
             continue
-        print(f"[{o.n_messages} messages] {'answered' if o.status == 'ok' else 'failed'} after {o.elapsed_s:.2f} s", file=out, flush=True)
+        print(f"{'answered' if o.status == 'ok' else 'failed'} after {o.elapsed_s:.2f} s", file=out, flush=True)
         print(o.answer if o.status == "ok" else f"The model could not be asked: {o.error}", file=out if o.status == "ok" else err)
     return talk
 

@@ -1,11 +1,16 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what whole texts need of the session."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, beyond which it takes no further row.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset, a local session gets a new folder; on a cluster that is an error."""
@@ -17,3 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or a folder, in whatever store it is; a missing one is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for one run. The driver removes it at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM is gone: then the cluster's own clean-up takes the folder
+            pass
+
+    atexit.register(clear)
+    return path
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of about BATCH_BYTES, so that a worker's memory depends on the longest
+    text and not on Spark's 10,000 rows a batch. A session that has set a bound itself keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))

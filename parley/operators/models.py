@@ -1,7 +1,7 @@
 """Models behind one small interface, and the step that asks them.
 
 A backend answers a list of messages with a response: ``{"choices": [{"message": {"content": ...}}]}``. Spark
-carries a factory to the workers, and each worker makes its own backend once.
+carries a factory to the workers, and each worker makes its own backend once (``WorkerBackend``).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -72,6 +73,25 @@ class HttpBackend:
             return json.load(answer)
 
 
+#: The backends that this worker has made, by their factories' names; the last few.
+_made: dict[str, Backend] = {}
+
+
+@dataclass(frozen=True)
+class WorkerBackend:
+    """A factory whose backend is made once in each worker, whatever conversations, tasks and micro-batches it serves."""
+
+    factory: Callable[[], Backend]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __call__(self) -> Backend:
+        if self.name not in _made:
+            while len(_made) >= 8:
+                del _made[next(iter(_made))]
+            _made[self.name] = self.factory()
+        return _made[self.name]
+
+
 @dataclass
 class Conversation:
     """Its committed messages, and whether an exit word has ended it."""
@@ -90,10 +110,12 @@ class Outcome:
     n_messages: int
 
 
-def ask(conversation: Conversation, line: str | None, backend: Backend, clock: Callable[[], float] = time.monotonic) -> Outcome | None:
+def ask(
+    conversation: Conversation, line: str | None, backend: Backend, clock: Callable[[], float] = time.monotonic, asking: Callable[[int], None] = lambda n_messages: None
+) -> Outcome | None:
     """One line: None if it ends the conversation, comes after its end or is blank; else what came of the question.
 
-    A question is committed with its answer, or not at all. Batch, stream and command line all go through here.
+    ``asking`` is told before the call how many messages the request has. A question is committed with its answer, or not at all. Batch, stream and command line all go through here.
     """
     question = (line or "").strip()
     if conversation.ended or question.lower() in EXIT_WORDS:
@@ -102,6 +124,7 @@ def ask(conversation: Conversation, line: str | None, backend: Backend, clock: C
     if not question:
         return None
     request = [*conversation.messages, {"role": "user", "content": question}]
+    asking(len(request))
     start = clock()
     try:
         answer = backend.complete(request)["choices"][0]["message"]["content"]

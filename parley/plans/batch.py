@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.models import Backend, Conversation, ask
-from ..operators.turns import normalise_turns
+from ..functions.shared import bound_batches
+from ..functions.text import is_blank
+from ..operators.models import Backend, Conversation, WorkerBackend, ask
 
 ANSWERS = "conv_id long, turn long, question string, answer string, status string, error string, elapsed_s double, n_messages long"
+_COLUMNS = {
+    "conv_id": pa.int64(), "turn": pa.int64(), "question": pa.string(), "answer": pa.string(), "status": pa.string(), "error": pa.string(), "elapsed_s": pa.float64(), "n_messages": pa.int64(),
+}
 
 
 def answer(turns: DataFrame, backend: Callable[[], Backend], prompts: DataFrame | None = None) -> DataFrame:
     """What came of each question of ``turns`` (conv_id, turn, line); ``prompts`` (conv_id, system_prompt) seeds them.
 
-    Exit words, what follows them and blank lines are dropped before the fold, so no worker is asked for them. A
-    prompt is joined to a conversation's first question only. The model is called when Spark runs the plan, and
-    again whenever it runs it again: persist or write the result before using it twice, and run such jobs
-    with ``spark.task.maxFailures=1`` and without speculation.
+    Lines are asked in order of ``turn``, null turns first and equal ones in order of the line. Blank lines are
+    dropped before the shuffle; an exit word ends its conversation, and no line after it is asked. Of several
+    prompts of a conversation the first in order of text holds; null ones count as none. Null ``conv_id``s are one
+    conversation. Conversations are sorted by Spark and folded row by row, so a worker holds the messages of one
+    at a time, however many lines it has.
+
+    The model is called when Spark runs the plan, and again whenever it runs it again: persist or write the
+    result before using it twice, and run such jobs with ``spark.task.maxFailures=1`` and without speculation.
     """
-    lines = normalise_turns(turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "line"))
+    bound_batches(turns.sparkSession)
+    key = F.col("conv_id").cast("long").alias("conv_id")
+    lines = turns.where(~is_blank(F.col("line"))).select(key, F.lit(1).alias("kind"), F.col("turn").cast("long").alias("turn"), F.col("line").cast("string").alias("line"))
     if prompts is not None:
-        seeds = prompts.select(F.col("conv_id").cast("long").alias("conv_id"), "system_prompt")
-        firsts = lines.groupBy("conv_id").agg(F.min("turn").alias("turn")).join(seeds, "conv_id")
-        lines = lines.join(firsts, ["conv_id", "turn"], "left")
-    else:
-        lines = lines.withColumn("system_prompt", F.lit(None).cast("string"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn", kind="stable")
-        prompt = next((p for p in rows["system_prompt"] if isinstance(p, str)), None)
-        state, model, out = Conversation([{"role": "system", "content": prompt}] if prompt is not None else []), backend(), []
-        for conv_id, turn, line in zip(rows["conv_id"], rows["turn"], rows["line"], strict=True):
-            if o := ask(state, line, model):
+        seeds = prompts.where("system_prompt is not null").select(key, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.col("system_prompt").alias("line"))
+        lines = seeds.groupBy("conv_id", "kind", "turn").agg(F.min("line").alias("line")).unionByName(lines)
+    made = WorkerBackend(backend)
+    return lines.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "line").mapInArrow(lambda it: _fold(it, made), ANSWERS)
+
+
+def _fold(batches: Iterator[pa.RecordBatch], backend: Callable[[], Backend]) -> Iterator[pa.RecordBatch]:
+    """Answers to the lines of conversations that follow one another, each led by its prompt if it has one."""
+    now: object = _fold  # no conversation's id
+    talk = Conversation()
+    for batch in batches:
+        out = []
+        for conv_id, kind, turn, line in zip(*(batch[c].to_pylist() for c in ("conv_id", "kind", "turn", "line")), strict=True):
+            if conv_id != now:
+                now, talk = conv_id, Conversation()
+            if not kind:
+                talk.messages = [{"role": "system", "content": line}]
+            elif o := ask(talk, line, backend()):
                 out.append((conv_id, turn, o.question, o.answer, o.status, o.error, o.elapsed_s, o.n_messages))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages"])
-
-    return lines.groupBy("conv_id").applyInPandas(fold, ANSWERS)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(_COLUMNS.values())], list(_COLUMNS))

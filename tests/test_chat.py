@@ -75,6 +75,50 @@ def test_batch(spark):
     assert bare["n_messages"] == 1 and bare["elapsed_s"] >= 0 and bare["error"] is None
 
 
+def test_batch_of_odd_rows(spark):
+    """Repeated and null prompts, null turns and ids, equal turns, other columns: each question is asked once."""
+    turns = [(1, None, "first"), (1, 0, "second"), (1, 2, "b"), (1, 2, "a"), (1, 5, "exit"), (1, 6, "late"), (None, 1, "y"), (None, 0, "x"), (2, 0, None), (2, 1, "alone")]
+    frame = spark.createDataFrame([(*t, 0, "") for t in turns], "conv_id long, turn long, line string, kind int, system_prompt string").repartition(3)
+    prompts = spark.createDataFrame([(1, "z"), (1, "rules"), (1, "rules"), (1, None), (2, None), (9, "unused")], "conv_id long, system_prompt string").repartition(3)
+    rows = answer(frame, unreliable, prompts).collect()
+    by_talk = {k: [(r["turn"], r["question"], r["n_messages"]) for r in rows if r["conv_id"] == k] for k in (1, 2, None)}
+    assert by_talk == {1: [(None, "first", 2), (0, "second", 4), (2, "a", 6), (2, "b", 8)], 2: [(1, "alone", 1)], None: [(0, "x", 1), (1, "y", 3)]}
+    assert answer(frame.limit(0), unreliable, prompts).count() == 0 and answer(frame.limit(0), unreliable).count() == 0
+
+
+def _seen(folder):
+    def make():
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+
+        class First(EchoBackend):
+            def complete(self, messages):
+                return super().complete([{"content": messages[0]["content"]}])
+
+        return First("")
+
+    return make
+
+
+def test_one_backend_for_each_worker_and_the_first_prompt(spark, tmp_path):
+    turns = spark.createDataFrame([(k, i, f"q{i}") for k in range(60) for i in range(3)], "conv_id long, turn long, line string")
+    prompts = spark.createDataFrame([(k, p) for k in range(60) for p in ("b", "a", "c")], "conv_id long, system_prompt string")
+    rows = answer(turns.repartition(16), _seen(str(tmp_path)), prompts).collect()
+    assert len(rows) == 180 and {r["answer"] for r in rows} == {"a"}
+    assert 1 <= len(list(tmp_path.iterdir())) <= 4  # the session's workers
+
+
+def test_one_conversation_larger_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        turns = spark.createDataFrame([(1, i, f"q{i}") for i in range(40)] + [(2, i, f"p{i}") for i in range(9)], "conv_id long, turn long, line string")
+        rows = answer(turns, unreliable).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["turn"], r["n_messages"]) for r in rows if r["conv_id"] == 1] == [(i, 2 * i + 1) for i in range(40)]
+
+
 def test_stream_in_and_out_of_order(spark, tmp_path):
     rows = [(k, i, x) for k, lines in TALKS.items() for i, x in enumerate(lines)]
     for part, keep in enumerate((lambda i: i % 2 == 1, lambda i: i == 0, lambda i: i and i % 2 == 0)):
@@ -120,9 +164,22 @@ def test_cli_session():
     out, err = io.StringIO(), io.StringIO()
     talk = cli.chat("x" * 30_001, unreliable(), ["hi", "", "fail", "exit", "late"], out, err)
     assert len(talk.messages) == 3 and "30001" in out.getvalue() and "echo: hi" in out.getvalue() and "Goodbye" in out.getvalue()
+    assert "[2 messages] asking ... answered after 0.00 s\necho: hi" in out.getvalue() and "[4 messages] asking ... failed" in out.getvalue()
     assert "not available" in err.getvalue() and "late" not in out.getvalue()
 
 
+def test_cli_shows_that_it_asks_before_the_answer_comes():
+    out = io.StringIO()
+
+    class Looks:
+        def complete(self, messages):
+            assert out.getvalue().endswith("[2 messages] asking ... ")
+            return {"choices": [{"message": {"content": "seen"}}]}
+
+    cli.chat("x", Looks(), ["hi"], out, out)
+    assert "seen" in out.getvalue()
+
+
 def test_cli_status(spark, monkeypatch, tmp_path, capsys):
     monkeypatch.chdir(tmp_path)
     monkeypatch.delenv("OPENAI_API_KEY", raising=False)

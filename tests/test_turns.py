@@ -55,3 +55,9 @@ def test_one_exchange(spark):
 def test_take_until_ignores_null_stops(spark):
     frame = spark.createDataFrame([(1, 0, None), (1, 1, True), (1, 2, False)], "k long, i long, s boolean")
     assert [r["i"] for r in take_until(frame, F.col("s"), "k", "i").collect()] == [0]
+
+
+def test_take_until_keeps_all_columns(spark):
+    frame = spark.createDataFrame([(1, 0, False, "x", "y"), (1, 1, True, "x", "y")], "k long, i long, s boolean, stopped string, _STOPPED string")
+    kept_ = take_until(frame, F.col("s"), "k", "i")
+    assert kept_.columns == frame.columns and [(r["stopped"], r["_STOPPED"]) for r in kept_.collect()] == [("x", "y")]
