@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir
+from ..functions.shared import delete, run_dir
 from ..operators.models import EchoBackend
 from ..operators.prompts import CLOSE, LARGE, OPEN, PREAMBLE, with_size_guard, with_system_prompt
 from ..operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes
@@ -70,23 +68,32 @@ def response_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("response", F.struct(choices.alias("choices"))).select("conv_id", "turn", first_choice(F.col("response")).alias("content"))
 
 
-#: Lines that the tables lack: exit words, blanks, odd white space.
+#: Lines that the tables lack: exit words, blanks, odd white space. Their conversations' ids are in no table.
 LINES = [
-    (1, 0, "  What is it?  "), (1, 1, "\t"), (1, 2, "Exit now"), (1, 3, " EXIT "), (1, 4, "late"),
-    (2, 0, ""), (2, 1, "　"), (2, 2, " Hello "), (2, 3, "Quit"), (2, 4, "quit"),
-    (3, 0, "exit"), (3, 1, "never"), (4, 0, "exit​"), (4, 1, None), (4, 2, "\u001cend\u001c"),
+    (-1, 0, "  What is it?  "), (-1, 1, "\t"), (-1, 2, "Exit now"), (-1, 3, " EXIT "), (-1, 4, "late"),
+    (-2, 0, ""), (-2, 1, "　"), (-2, 2, " Hello "), (-2, 3, "Quit"), (-2, 4, "quit"),
+    (-3, 0, "exit"), (-3, 1, "never"), (-4, 0, "exit​"), (-4, 1, None), (-4, 2, "\u001cend\u001c"),
 ]
 
 
 def trim_blank_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_turns(spark.createDataFrame(LINES, "conv_id long, turn long, line string")).select("conv_id", "turn", "line")
+    """All recorded lines of users, and LINES, as questions."""
+    odd = spark.createDataFrame(LINES, "conv_id long, turn long, line string")
+    return normalise_turns(_asked(_table(spark, sf_dir, "conversations")).unionByName(odd)).select("conv_id", "turn", "line")
 
 
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading what isn't a text document: a binary file, a folder, nothing."""
-    paths = [f"{sf_dir}/nation.parquet", sf_dir, f"{sf_dir}/missing.md"]
-    found = read_documents(spark, paths)
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "content", F.substring_index("error", ":", 1).alias("error"))
+    """Each recorded conversation as a text document, written to the shared folder by Spark and read whole; then a
+    binary file, a folder, and nothing."""
+    folder = run_dir(spark, "parley-documents")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    texts = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("value"))
+    texts.write.partitionBy("conv_id").text(folder)
+    odd = {f"{sf_dir}/nation.parquet": "a binary file", sf_dir: "a folder", f"{sf_dir}/missing.md": "nothing"}
+    written = [r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]  # the paths alone
+    found = read_documents(spark, [*written, *odd])
+    named = F.coalesce(*(F.when(F.col("path") == p, n) for p, n in odd.items()), F.regexp_extract("path", "conv_id=([^/]+)", 1))
+    return found.select(named.alias("name"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"), F.substring_index("error", ":", 1).alias("error"))
 
 
 def _unreliable() -> EchoBackend:
@@ -107,7 +114,7 @@ def chat_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through Structured Streaming, to its end, into a table in the shared folder."""
-    folder = f"{shared_dir(spark)}/parley-stream-{uuid.uuid4().hex}"
+    folder = run_dir(spark, "parley-stream")
     order = Window.partitionBy("conv_id").orderBy("turn")
     lines = _asked(_table(spark, sf_dir, "conversations")).withColumn("seq", F.row_number().over(order).cast("long") - 1)
     # later lines in the first file: the state keeps them until theirs is the next
@@ -119,6 +126,8 @@ def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    for done in ("lines", "state"):
+        delete(spark, f"{folder}/{done}")
     return spark.read.schema(ANSWERS).parquet(f"{folder}/answers").drop("elapsed_s")
 
 
@@ -177,10 +186,16 @@ ORACLE_SQL = {
         SELECT conv_id, turn, text AS question, CASE WHEN kept THEN next_text END AS answer, CASE WHEN kept THEN 'ok' ELSE 'error' END AS status FROM marked WHERE role = 'user'""",
     "response_extract": f"WITH {_MARKED} SELECT conv_id, turn, CASE WHEN kept THEN next_text END AS content FROM marked WHERE role = 'user'",
     "trim_blank_exit": f"""
-        WITH lines(conv_id, turn, line) AS (VALUES {", ".join(f"({c}, {t}, {_literal(x)})" for c, t, x in LINES)}),
+        WITH odd(conv_id, turn, line) AS (VALUES {", ".join(f"({c}, {t}, {_literal(x)})" for c, t, x in LINES)}),
+        lines AS (SELECT * FROM odd UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
         trimmed AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, trim(line, {_SPACE}) AS line FROM lines),
         open AS (SELECT *, max(coalesce(lower(line) IN ('exit', 'quit'), false)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS stopped FROM trimmed)
         SELECT conv_id, turn, line FROM open WHERE stopped = 0 AND coalesce(line, '') <> ''""",
+    "document_scan": """
+        WITH texts AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) AS raw FROM conversations GROUP BY conv_id),
+        contents AS (SELECT conv_id, replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM texts)
+        SELECT conv_id::VARCHAR AS name, length(content)::BIGINT AS n_chars, md5(content) AS content_md5, NULL AS error FROM contents
+        UNION ALL VALUES ('a binary file', NULL, NULL, 'UnicodeDecodeError'), ('a folder', NULL, NULL, 'IsADirectoryError'), ('nothing', NULL, NULL, 'not found')""",
     "chat_fold": _CHAT,
     "chat_stream": _CHAT.replace("SELECT conv_id, turn, question,", "SELECT conv_id, seq AS turn, question,").replace("FROM (SELECT conv_id, turn,", "FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,"),
 }

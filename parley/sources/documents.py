@@ -9,6 +9,7 @@ rules from expressions.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from ..errors import DocumentError, DocumentNotFound
 
 SCHEMA = "path string, content string, error string"
 NOT_FOUND = "not found"
+#: A store's path: ``s3a://...``, and ``file:/...`` as Spark writes it.
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:/")
 
 
 class DocumentSource(DataSource):
@@ -57,7 +60,7 @@ class DocumentReader(DataSourceReader):
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, content, error) of each path, in no order; a path that is given twice gives two rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    local, remote = [p for p in paths if "://" not in p], [p for p in paths if "://" in p]
+    local, remote = [p for p in paths if not _SCHEME.match(p)], [p for p in paths if _SCHEME.match(p)]
     spark.dataSource.register(DocumentSource)
     found = spark.read.format("document").option("paths", json.dumps(local)).load()
     return found.unionByName(_read_remote(spark, remote)) if remote else found

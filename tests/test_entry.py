@@ -36,8 +36,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 34
 
 
-def test_document_scan(spark):
-    assert {r["name"]: r["error"] for r in entry.queries()["document_scan"](spark, SF).collect()} == {"nation.parquet": "UnicodeDecodeError", "sf0.001": "IsADirectoryError", "missing.md": "not found"}
+def test_document_scan_leaves_documents_whole(spark):
+    rows = {r["name"]: r for r in core.QUERIES["document_scan"](spark, SF).collect()}
+    assert sum(r["error"] is None and r["n_chars"] > 0 for r in rows.values()) == 20
+    assert {n: rows[n]["error"] for n in ("a binary file", "a folder", "nothing")} == {"a binary file": "UnicodeDecodeError", "a folder": "IsADirectoryError", "nothing": "not found"}
 
 
 def test_every_query_is_registered():
