@@ -7,8 +7,8 @@ centroid is at most ``ratio`` times as far as the nearest. That ratio is calibra
 with which the lists would hold the wanted share of true neighbours. So clustered data is pruned hard, and data
 without structure little.
 
-Lists live on the executors only, each split into blocks of bounded size; a task compares a block with the
-queries that chose its list. The driver holds the sample and the centroids, both of bounded size.
+Lists live on the executors only, each split into blocks of bounded size, and the queries that chose a list into
+batches; a task compares a block with a batch. The driver holds the sample and the centroids, both of bounded size.
 """
 
 from __future__ import annotations
@@ -22,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 from .vectors import matrix, top, usable
 
 #: Rows of the sample, vectors that a list should hold, and the most lists (an eighth of the sample).
 SAMPLE, LIST, MOST_LISTS = 16_384, 512, 2048
 #: A vector is also in lists up to so many times as far as its nearest, and in so many lists at most.
 BOUNDARY, COPIES = 1.05, 4
-#: Neighbours of a centroid in the graph; rows of a list's block.
-DEGREE, BLOCK = 32, 8192
+#: Neighbours of a centroid in the graph; rows of a list's block; queries of a batch.
+DEGREE, BLOCK, BATCH = 32, 8192, 2048
+#: Queries that may be broadcast, with their vectors.
+FEW_QUERIES = 20_000
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -145,28 +148,25 @@ def _place(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex) -> Ite
             part = batch.slice(lo, 2048)
             row, of = _in_lists(units(matrix(part["embedding"], dim)), index.centroids)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), part["vec_id"].take(take), part["embedding"].take(take)], ["list", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *(part[c].take(take) for c in ("row", "vec_id", "embedding"))], ["list", "row", "vec_id", "embedding"])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex, sizes: np.ndarray, blocks: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], dim: int, index: ListIndex, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """(list, query) for each list that a query asks."""
     for batch in batches:
-        x = matrix(batch["embedding"], dim)
-        row, of, block = [], [], []
-        for i, q in enumerate(units(x) if len(x) else x):
-            for at in walk(q, index, sizes, least):
-                for b in range(int(blocks[at])):
-                    row.append(i)
-                    of.append(at)
-                    block.append(b)
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(block, pa.int32()), batch["vec_id"].take(take), batch["embedding"].take(take)], ["list", "block", "query_id", "embedding"])
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            asked = [walk(q, index, sizes, least) for q in units(matrix(part["embedding"], dim))]
+            query = np.repeat(np.asarray(part["query"], np.int64), [len(of) for of in asked])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asked).astype(np.int32)), pa.array(query)], ["list", "query"])
 
 
 def _compare(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
-    """The k nearest rows of one block for each query that asks it."""
+    """The k nearest rows of one block for each query of a batch."""
     out: list[tuple] = []
+    number, q_ids = (np.asarray(queries[c], np.int64) for c in ("query", "query_id"))
+    places, ids = (np.asarray(rows[c], np.int64) for c in ("row", "vec_id"))
     if queries.num_rows and rows.num_rows:
-        q_ids, ids = (np.asarray(t[c], np.int64) for t, c in ((queries, "query_id"), (rows, "vec_id")))
         asked, held = matrix(queries["embedding"], dim), matrix(rows["embedding"], dim)
         unit = units(held)
         for lo in range(0, len(q_ids), 512):
@@ -177,9 +177,9 @@ def _compare(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
             for q, c in _few(near, kth - 1e-9):
                 score = cosine(asked[lo + q], held[c])
                 at, _ = top(q, score, ids[c], k)
-                out.append((q_ids[lo + q[at]], ids[c[at]], score[at]))
+                out.append((lo + q[at], c[at], score[at]))
     q, c, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.table({"query_id": q, "vec_id": c, "score": s})
+    return pa.table({"query": number[q], "query_id": q_ids[q], "row": places[c], "vec_id": ids[c], "score": s})
 
 
 def _few(near: np.ndarray, floor: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,33 +199,41 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50
     that were found, by cosine; of equal ones, smaller ids first.
 
     Null, empty and zero vectors, those with null or non-finite components, with another dimension than most, or
-    with a null id take no part. Rows that share an id are not candidates of one another, and count as their
-    nearest. With fewer than ``k`` others, all are returned. An empty table gives no rows; other columns are
-    ignored. ``recall`` is the share of true neighbours within the sample that calibrates the search.
+    with a null id take no part. Rows that share an id are not candidates of one another; each is a candidate of
+    others, and each is a query with a list of its own. With fewer than ``k`` others, all are returned. An empty
+    table gives no rows; other columns are ignored. ``recall`` is the share of true neighbours within the sample
+    that calibrates the search.
     """
     rows, dim = usable(vectors)
     if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     scratch = Scratch(spark)
     rows = rows.where(F.exists("embedding", lambda x: x != 0))
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     order = F.xxhash64("vec_id", F.lit(seed))
     sample = rows.select("vec_id", "embedding", order.alias("r")).orderBy("r", "vec_id").limit(SAMPLE).toArrow()
     n_lists = min(MOST_LISTS, max(1, n // LIST))
     index = fit_lists(units(matrix(sample["embedding"], dim)), n_lists, k, recall, seed)
     shared = spark.sparkContext.broadcast(index)
-    lists = scratch.save(rows.mapInArrow(lambda it: _place(it, dim, shared.value), "list int, vec_id long, embedding array<double>"), "lists")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    lists = scratch.save(numbered.mapInArrow(lambda it: _place(it, dim, shared.value), "list int, row long, vec_id long, embedding array<double>"), "lists")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in lists.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    of_list = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("list") + 1)
-    held = lists.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), of_list).cast("int") if sizes.max() > BLOCK else F.lit(0))
-    asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = asking.mapInArrow(lambda it: _ask(it, dim, shared.value, sizes, blocks, 4 * (k + 1)), "list int, block int, query_id long, embedding array<double>")
-    found = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInArrow(lambda a, b: _compare(a, b, dim, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = scratch.save(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding").withColumn("query", F.monotonically_increasing_id()), "queries")
+    asked = scratch.save(queries.mapInArrow(lambda it: _ask(it, dim, shared.value, sizes, 4 * (k + 1)), "list int, query long"), "asked")
+    # one row for each list: its blocks, and the batches of its queries
+    blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    meets = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches")).join(blocks, "list"))
+    dealt = lambda c, m: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    asking = asked.join(meets, "list").join(small(queries, queries.count(), FEW_QUERIES), "query")
+    left = asking.select("list", each("blocks").alias("block"), dealt("query", "batches").alias("batch"), "query", "query_id", "embedding")
+    right = lists.join(meets, "list").select("list", dealt("row", "blocks").alias("block"), each("batches").alias("batch"), "row", "vec_id", "embedding")
+    key = ["list", "block", "batch"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _compare(a, b, dim, k), "query long, query_id long, row long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))  # a row lies in several lists
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
