@@ -2,52 +2,92 @@
 
 Lines carry ``seq`` (from 0, without gaps, in each conversation). One that comes early waits in the state until
 those before it have come, so files or records out of order change nothing.
+
+Committed messages are a list state, to which a turn's two messages are appended; lines that wait are a map state.
+The system prompt is no state: it goes with the query. So a micro-batch writes what it adds, not what there was.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.models import Backend, Conversation, ask
+from ..operators.models import Backend, Conversation, WorkerBackend, ask
 from ..plans.batch import ANSWERS
 
-STATE = "messages string, waiting string, next_seq long, ended boolean"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_COLUMNS = ["conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages"]
 
 
-def answer_stream(lines: DataFrame, backend: Callable[[], Backend], system_prompt: str | None = None) -> DataFrame:
-    """The batch's answers for a streaming DataFrame (conv_id, seq, line), in append mode; ``turn`` is ``seq``.
+class _Fold(StatefulProcessor):
+    """One conversation's lines, in order of ``seq``, through ``ask``."""
 
-    Once a conversation has ended its state shrinks to that mark. A line that has already been taken (the same
-    ``seq`` again) is ignored.
-    """
+    def __init__(self, backend: Callable[[], Backend], system_prompt: str | None):
+        self.backend, self.prompt = backend, system_prompt
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            messages, waiting, at, ended = state.get
-        else:
-            seed = [{"role": "system", "content": system_prompt}] if system_prompt is not None else []
-            messages, waiting, at, ended = json.dumps(seed), "{}", 0, False
-        lines_: dict[int, str | None] = {int(k): v for k, v in json.loads(waiting).items()}
-        for batch in batches:
-            for seq, line in zip(batch["seq"], batch["line"], strict=True):
-                if seq >= at and not ended:
-                    lines_.setdefault(int(seq), line)
-        talk, model, out = Conversation(json.loads(messages), ended), backend(), []
-        while at in lines_ and not talk.ended:
-            o = ask(talk, lines_.pop(at), model)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.messages = handle.getListState("messages", "role string, content string")
+        self.waiting = handle.getMapState("waiting", "seq long", "line string")
+        self.place = handle.getValueState("place", "next_seq long, ended boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, ended = self.place.get() if self.place.exists() else (0, False)
+        new: dict[int, str | None] = {}
+        for batch in rows:
+            if not ended:
+                for seq, line in zip(batch["seq"], batch["line"], strict=True):
+                    if seq >= at:
+                        new.setdefault(int(seq), line if isinstance(line, str) else None)
+        out = self._ask(key[0], int(at), new) if new else []
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def _ask(self, conv_id: int, at: int, new: dict[int, str | None]) -> list[tuple]:
+        early = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        lines = {**new, **early}  # what came first for a place holds
+        start, out = at, []
+        talk = Conversation([{"role": "system", "content": self.prompt}] if self.prompt is not None else [])
+        first = len(talk.messages)
+        if at in lines and self.messages.exists():
+            talk.messages += [{"role": role, "content": content} for role, content in self.messages.get()]
+        before = len(talk.messages)
+        while at in lines and not talk.ended:
+            o = ask(talk, lines.pop(at), self.backend())
             if o:
-                out.append((key[0], at, o.question, o.answer, o.status, o.error, o.elapsed_s, o.n_messages))
+                out.append((conv_id, at, o.question, o.answer, o.status, o.error, o.elapsed_s, o.n_messages))
             at += 1
         if talk.ended:
-            talk.messages, lines_ = [], {}
-        state.update((json.dumps(talk.messages), json.dumps(lines_), at, talk.ended))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages"])
+            self.messages.clear()
+            self.waiting.clear()
+        else:
+            if added := talk.messages[max(before, first) :]:
+                self.messages.appendList([(m["role"], m["content"]) for m in added])
+            for seq in early.keys() - lines.keys():
+                self.waiting.removeKey((seq,))
+            for seq in lines.keys() - early.keys():
+                self.waiting.updateValue((seq,), (lines[seq],))
+        if talk.ended or at != start:
+            self.place.update((at, talk.ended))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def answer_stream(lines: DataFrame, backend: Callable[[], Backend], system_prompt: str | None = None) -> DataFrame:
+    """The batch's answers for a streaming DataFrame (conv_id, seq, line), in append mode; ``turn`` is ``seq``.
 
+    Once a conversation has ended its state shrinks to that mark. A line that has already been taken (the same
+    ``seq`` again) is ignored, as is one without ``seq``. Such state needs RocksDB as the session's state store; where the session has set none,
+    it is set.
+    """
+    spark = lines.sparkSession
+    if PROVIDER not in spark.conf.getAll:
+        spark.conf.set(PROVIDER, ROCKSDB)
     keyed = lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "line")
-    return keyed.groupBy("conv_id").applyInPandasWithState(fold, ANSWERS, STATE, "append", GroupStateTimeout.NoTimeout)
+    fold = _Fold(WorkerBackend(backend), system_prompt)
+    return keyed.groupBy("conv_id").transformWithStateInPandas(fold, ANSWERS, "Append", "None")

@@ -129,6 +129,22 @@ def test_stream_in_and_out_of_order(spark, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "out"))) == expected()
 
 
+def test_stream_keeps_null_answers_and_ignores_lines_again(spark, tmp_path):
+    def recorded():
+        return ReplayBackend({"a": None, "b": "yes"})
+
+    parts = [[(1, 0, "a"), (1, 2, "b")], [(1, 0, "b"), (1, None, "b"), (None, 0, "a")], [(1, 1, None), (1, 2, "a"), (1, 3, "c")], [(1, 4, "b"), (1, 5, "exit")], [(1, 6, "b")]]
+    for rows in parts:
+        spark.createDataFrame(rows, "conv_id long, seq long, line string").coalesce(1).write.mode("append").parquet(str(tmp_path / "lines"))
+        lines = spark.readStream.schema("conv_id long, seq long, line string").parquet(str(tmp_path / "lines"))
+        query = answer_stream(lines, recorded).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        query.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["turn"], r["question"], r["answer"], r["status"], r["n_messages"]) for r in rows if r["conv_id"] == 1) == [
+        (0, "a", None, "ok", 1), (2, "b", "yes", "ok", 3), (3, "c", None, "error", 5), (4, "b", "yes", "ok", 5),
+    ]
+
+
 class Service(BaseHTTPRequestHandler):
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
