@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir
+from ..functions.shared import delete, run_dir
 
 #: Rows of at most three numbers that may be broadcast; at 24 bytes each, 12 MB.
 BROADCAST_ROWS = 500_000
-#: Bytes of an Arrow batch, beyond which it takes no further row.
-BATCH_BYTES = 4 << 20
-
+#: Rows of one key that are joined in one place.
+PART = 1000
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of about BATCH_BYTES, so that a worker's memory depends on the longest
-    text and not on Spark's 10,000 rows a batch. A session that has set a bound itself keeps it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def let_go(spark: SparkSession) -> None:
     """Frees what finished plans held. Spark removes their broadcasts and shuffle files, on the executors too, once
     the driver's JVM collects the plans; a driver that has heap to spare would leave them there for long."""
@@ -44,8 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths, self.saved = spark, f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}", {}, 0
-        atexit.register(self.clear)
+        self.spark, self.root, self.paths, self.saved = spark, run_dir(spark, "parley"), {}, 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path, self.saved = f"{self.root}/{name}-{self.saved}", self.saved + 1
@@ -57,18 +45,7 @@ class Scratch:
         """Removes those of the tables that were saved."""
         for name in names:
             if name in self.paths:
-                self._delete(self.paths.pop(name))
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001  the JVM is gone: then the cluster's own clean-up takes the folder
-            pass
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                delete(self.spark, self.paths.pop(name))
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,6 +53,21 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def parts_of(counts: DataFrame, *key: str, most: int | None = None) -> DataFrame:
+    """(key, parts) of the keys in ``counts`` (key, c) that have more than ``most`` rows (PART by default)."""
+    most = most or PART
+    return counts.where(F.col("c") > most).select(*key, F.ceil(F.col("c") / most).cast("int").alias("parts"))
+
+
+def join_split(many: DataFrame, one: DataFrame, key: str | list[str], parts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has at most a row for each key: the rows of keys in ``parts`` are split by
+    the column ``by``, and their row in ``one`` is copied for each part."""
+    n, key = F.coalesce("parts", F.lit(1)), [key] if isinstance(key, str) else key
+    left = many.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(by), n).cast("int")).drop("parts")
+    right = one.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+    return left.join(right, [*key, "part"], how).drop("part")
+
+
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; rows without an id are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import Scratch, bound_batches, bounded_sample
+from ..functions.shared import bound_batches
+from .common import Scratch, bounded_sample
 
 #: Lengths of the word beginnings that are features. Every feature starts with some HEAD code points.
 PREFIXES, HEAD = (3, 4, 5, 6, 7), 3
