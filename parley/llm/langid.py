@@ -9,6 +9,7 @@ prediction counts as rejected.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_sample
+from ..functions.shared import bound_batches
+from .common import bounded_sample
 
 UNKNOWN = "und"
 #: Hash buckets (a power of two), embedding size, and the subwords' lengths.
 BITS, DIM, LENGTHS = 16, 16, (2, 3, 4)
-#: At most so many rows train the model, and so many of one language.
-SAMPLE_ROWS, CLASS_ROWS = 6000, 1200
+#: At most so many rows train the model, so many of one language, and so many languages: the most frequent.
+SAMPLE_ROWS, CLASS_ROWS, MOST_LANGS = 6000, 1200, 400
 #: Code points that are hashed at once.
 CHUNK = 1 << 20
 
@@ -121,19 +123,32 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: tuple[str, ...],
 def train_language_model(docs: DataFrame, epochs: int = 5, rate: float = 1.0, seed: int = 17) -> LanguageModel | None:
     """A model from the rows with a language; ``None`` if there are none.
 
-    At most SAMPLE_ROWS of them train it, an equal share for each language: those with the smallest hashes.
+    At most SAMPLE_ROWS of them train it, an equal share for each language: those with the smallest hashes. At most
+    MOST_LANGS languages are learned, the most frequent. Of several texts or languages of an id, one is used; rows
+    without an id teach nothing. One task fits the sample; only the model comes to the driver.
     """
     bound_batches(docs.sparkSession)
-    known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    langs = tuple(sorted(r["lang"] for r in known.select("lang").distinct().limit(SAMPLE_ROWS).collect()))
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", lang.alias("lang"), text.alias("text"))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    langs = tuple(sorted(r["lang"] for r in most))
     if not langs:
         return None
+    known = known.where(F.col("lang").isin(*langs))
     ids = bounded_sample(known.select("doc_id", "lang"), "lang", max(1, min(CLASS_ROWS, SAMPLE_ROWS // len(langs))), seed)
-    chosen = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = chosen.mapInArrow(_counts, "lang string, buckets array<int>, counts array<float>").orderBy(F.xxhash64("lang", F.hash("buckets"))).toArrow().combine_chunks()
-    number = {x: i for i, x in enumerate(langs)}
-    rows = [(number[a], np.asarray(b.values), np.asarray(c.values)) for a, b, c in zip(found["lang"].to_pylist(), found["buckets"], found["counts"], strict=True)]
-    return _fit(rows, langs, epochs, rate, seed) if rows else None
+    chosen = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct("lang", F.xxhash64("text"), "text")).alias("row"))
+    counts = chosen.select("row.lang", "row.text").mapInArrow(_counts, "lang string, buckets array<int>, counts array<float>")
+    sample = counts.repartition(1).sortWithinPartitions(F.xxhash64("lang", F.hash("buckets")), "lang")
+    found = sample.mapInArrow(lambda it: _fit_batches(it, langs, epochs, rate, seed), "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch], langs: tuple[str, ...], epochs: int, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
+    number, rows = {x: i for i, x in enumerate(langs)}, []
+    for batch in batches:
+        rows += [(number[a], np.array(b.values), np.array(c.values)) for a, b, c in zip(batch["lang"].to_pylist(), batch["buckets"], batch["counts"], strict=True)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit(rows, langs, epochs, rate, seed))], pa.binary())], ["model"])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) -> Iterator[pa.RecordBatch]:
