@@ -6,8 +6,9 @@ capacity leaves and what leaves it. A group therefore meets in one shard, or, if
 as few as can hold it. Documents without links cut no edge wherever they are; they come last and level the
 shards' bytes by prefix sums.
 
-A round reads one row per linked document (a few numbers) and joins it with one row per group; only the matrix of
-bytes that want to move from shard to shard reaches the driver.
+A round reads one row per linked document (a few numbers) and joins it with one row per group: by broadcast where
+the counted groups are few, else with large groups split into parts. Only the matrix of bytes that want to move from
+shard to shard reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, join_split, parts_of, small
 
 #: About so many documents are in a bucket of the two-level prefix sums; there are at most MOST_BUCKETS.
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 16_384
+#: Groups that may be broadcast, at about 300 bytes each.
+FEW_GROUPS = 50_000
 
 
 def _quota(flow: list[list[float]], room: list[float]) -> list[float]:
@@ -66,12 +69,12 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8, rou
         ).withColumn("u", F.xxhash64("doc_id", "h1", "h2", F.monotonically_increasing_id(), F.lit(seed))),
         "base",
     )
-    groups = base.where("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", F.lit(True).alias("linked"))
-    known = scratch.save(base.join(groups, ["h1", "h2"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("shard", F.pmod("u", F.lit(n_shards)).cast("int")), "known")
+    groups = scratch.save(base.where("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("linked", F.lit(True)), "groups")
+    known = scratch.save(_with_groups(base, groups.drop("c"), groups).withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("shard", F.pmod("u", F.lit(n_shards)).cast("int")), "known")
     scratch.drop("base")
     sums = known.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("linked"), F.col("size"))).alias("linked")).first()
     total, rows, tied = sums["bytes"] or 0, sums["rows"], sums["linked"] or 0
-    labels = _propagate(scratch, known.where("linked"), n_shards, total / n_shards, rounds) if tied else known.where("linked")
+    labels = _propagate(scratch, known.where("linked"), groups, n_shards, total / n_shards, rounds) if tied else known.where("linked")
 
     loads = [0.0] * n_shards
     for r in labels.groupBy("shard").agg(F.sum("size").alias("b")).collect():  # a row for each shard
@@ -96,13 +99,22 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8, rou
     return numbered.select("doc_id", "size", "text_crc32", "linked", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
 
 
+def _with_groups(rows: DataFrame, one: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each of some of the ``groups``."""
+    n = groups.count()
+    if n <= FEW_GROUPS:
+        return rows.join(F.broadcast(one), ["h1", "h2"], "left")
+    parts = parts_of(groups, "h1", "h2")
+    return join_split(rows, one, ["h1", "h2"], small(parts, parts.count()), "u", "left")
+
+
 def _offsets(sums: DataFrame, by: list[str], column: str) -> DataFrame:
     """Sums by bucket (at most MOST_BUCKETS a shard) with the column ``before``: what the buckets before it hold."""
     w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(*by, "bucket", F.coalesce(F.sum(column).over(w), F.lit(0)).alias("before"))
 
 
-def _propagate(scratch: Scratch, labels: DataFrame, n_shards: int, capacity: float, rounds: int) -> DataFrame:
+def _propagate(scratch: Scratch, labels: DataFrame, groups: DataFrame, n_shards: int, capacity: float, rounds: int) -> DataFrame:
     """Linked rows with the shards that they end in."""
     last = None
     for k in range(rounds):
@@ -129,7 +141,7 @@ def _propagate(scratch: Scratch, labels: DataFrame, n_shards: int, capacity: flo
         draw = F.pmod(F.when(F.col("large"), F.xxhash64("u", F.lit(k))).otherwise(F.xxhash64("h1", "h2", F.lit(k))), F.lit(1_000_003)) / 1_000_003.0
         goes = (F.col("to") != F.col("shard")) & ((F.col("own") < F.col("pull")) | ((F.col("own") == F.col("pull")) & (F.col("to") < F.col("shard")))) & (draw < share)
         moved = (
-            labels.join(wants.withColumn("large", large), ["h1", "h2"], "left")
+            _with_groups(labels, wants.withColumn("large", large), groups)
             .withColumn("own", F.element_at("votes", F.col("shard")))
             .select("doc_id", "size", "text_crc32", "h1", "h2", "u", "linked", F.when(F.coalesce(goes, F.lit(False)), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         )
