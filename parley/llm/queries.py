@@ -21,11 +21,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every whole text: counts by base kind, a digest of the base spans, and all spans."""
+    """Personal data of every whole text: counts by base kind, a digest of the base spans, all spans and their number."""
     found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii_spans")
     base = pii.of_kinds(F.col("pii_spans"), pii.BASE)
     counts = [F.size(pii.of_kinds(F.col("pii_spans"), (k,))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.col("pii_spans").alias("spans"))
+    every = F.when(F.col("pii_spans") == "", 0).otherwise(F.size(F.split("pii_spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.col("pii_spans").alias("spans"), every)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Personal data, language, toxicity, licences and packing against plain versions, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -89,6 +90,8 @@ def test_pii_query(spark):
         spans = plain_spans(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.BASE] == [sum(s[2] == k for s in spans) for k in pii.BASE]
+        everything = pii.spans_of(texts[r["doc_id"]])
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in everything) and r["n_spans"] == len(everything)
 
 
 def slow_ids(text):
@@ -155,6 +158,51 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in langid.identify_language(spark, odd, None).collect()} == {"und"}
 
 
+def plain_language(text, model):
+    """The likeliest language and its probability, one subword at a time."""
+    codes = [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
+    sums, n_all = np.zeros(len(model.langs)), 0
+    for n in langid.LENGTHS:
+        for i in range(len(codes) - n + 1):
+            part = codes[i : i + n]
+            if " " in part[1:-1] or part[0] == part[-1] == " ":
+                continue
+            h = ord(part[0])
+            for c in part[1:]:
+                h = (h * 0x01000193 ^ ord(c) * 0x85EBCA6B) % 2**32
+            sums, n_all = sums + model.table[(h + n) * 0x9E3779B1 % 2**32 >> 32 - langid.BITS], n_all + 1
+    if not n_all:
+        return "und", 0.0
+    e = np.exp(sums / n_all / model.temperature - (sums / n_all / model.temperature).max())
+    return model.langs[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_language_scores_are_those_of_the_plain_version(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train_language_model(docs)
+    rows = docs.select("doc_id", F.substring("text", 1, 1500).alias("text")).unionByName(odd.where("doc_id <> 5 or doc_id is null").select("doc_id", "text"))
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    got = langid.identify_language(spark, spark.createDataFrame(texts, KIND), model).collect()
+    for r, (i, text) in zip(got, texts, strict=True):
+        lang, score = plain_language(text, model)
+        assert (r["doc_id"], r["lang_pred"], r["score"]) == (i, lang, pytest.approx(score, abs=1e-6))
+
+
+def test_language_of_odd_tables(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    assert langid.train_language_model(docs.limit(0)) is None
+    assert langid.identify_language(spark, odd.limit(0), None).count() == 0
+    again = docs.unionByName(docs.withColumn("text", F.lit("another text"))).unionByName(docs.withColumn("lang", F.lit("zz")))
+    a, b = (langid.train_language_model(again.repartition(n)) for n in (2, 5))
+    assert a.langs == b.langs and np.array_equal(a.table, b.table)  # whichever row comes first
+
+
+def test_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(i, f"word{i % 7} of {lang}", lang) for i, lang in enumerate(["bb"] * 30 + ["aa"] * 20 + ["cc"] * 20 + ["dd"] * 5)]
+    assert langid.train_language_model(spark.createDataFrame(rows, f"{KIND}, lang string")).langs == ("aa", "bb")
+
+
 def test_subwords_do_not_depend_on_chunks(monkeypatch):
     text = "Ein Wort, zwei Wörter; drei."
     whole = np.sort(np.concatenate(list(langid._subwords(text))))
@@ -175,6 +223,37 @@ def test_toxicity(spark, odd):
     assert {r["score"] for r in toxicity.score_toxicity(spark, odd, none).collect()} == {0.0}
 
 
+def plain_toxicity(text, model):
+    """The noisy-or of all sentences' scores, calibrated."""
+    clean = 1.0
+    for sentence in re.findall(r"[^.!?\n]+[.!?]*", text or ""):
+        words = set(re.findall(r"[^\W\d_]+", sentence.lower()))
+        z = model.bias + sum(model.words.get(w, 0) + sum(model.beginnings.get(w[:n], 0) for n in toxicity.PREFIXES if len(w) >= n) for w in words)
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    odds = max(-30.0, min(30.0, math.log((1 - clean) / clean))) if 0 < clean < 1 else (-30.0 if clean == 1 else 30.0)
+    return 1 / (1 + math.exp(-(model.slope * odds + model.shift)))
+
+
+def test_toxicity_scores_are_those_of_the_plain_version(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.train_toxicity(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    more = ["", None, "\u03a3\u03a3.\u03a3a \u0130x", *(f"{w}. {w.upper()}!{w}x\n" for w in model.words), *(f"x {w}abc; {w}" for w in model.beginnings)]
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(100_000 + i, t) for i, t in enumerate(more)]
+    got = toxicity.score_toxicity(spark, spark.createDataFrame(texts, KIND), model).collect()
+    assert [r["score"] for r in got] == pytest.approx([plain_toxicity(t, model) for _, t in texts], abs=1e-7)
+    assert sum(r["score"] >= 0.7 for r in got) > 10
+
+
+def test_toxicity_of_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")
+    empty = toxicity.train_toxicity(odd.limit(0), labels)
+    assert empty.prior == 0.0 and toxicity.score_toxicity(spark, odd.limit(0), empty).count() == 0
+    twice = odd.unionByName(odd.withColumn("text", F.lit("a second text")))
+    models = [toxicity.train_toxicity(twice.repartition(n), labels) for n in (2, 5)]
+    assert models[0] == models[1]
+    assert len(toxicity.score_toxicity(spark, odd, models[0]).collect()) == len(ODD)
+
+
 def test_offending_sentences(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("bcdfgaeiou", k=5))
