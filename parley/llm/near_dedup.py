@@ -6,12 +6,14 @@
 3. In each bucket every class is paired with the smallest one only. Pairs are verified on their full sets, and
    linked classes become components.
 4. Buckets that still hold several components are worked off whole: a pair of classes of different components is
-   verified too (what is in one component already needs no more links). Few classes give such pairs one by one;
-   many are dealt into blocks, and blocks are compared with blocks within tasks. No pair is dropped.
+   verified too (what is in one component already needs no more links). Few classes give such pairs one by one. Of
+   many, a pair's sets must share one of their first elements in an order of all elements, rare ones before frequent
+   ones: classes that share a first element are paired and verified. Where too many share one, they are dealt into
+   blocks by their sets' sizes, and blocks whose sizes can meet are compared within tasks. No pair is dropped.
 5. Components follow from union-find within partitions and star contraction between them.
 
-No group of copies meets in one task: buckets are aggregated before they are shuffled, and joined with what the
-aggregation leaves.
+No group of copies meets in one task: buckets are aggregated before they are shuffled, and a key of many rows is
+split into parts before it is joined.
 """
 
 from __future__ import annotations
@@ -24,13 +26,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, small
+from ..functions.shared import bound_batches
+from .common import BROADCAST_ROWS, Scratch, join_split, parts_of, small
 from .shingles import band_keys, set_keys, shingle_sets, super_minhash
 
 BANDS, ROWS = 40, 6
 #: Hubs of up to so many classes give their pairs one by one; blocks of the larger ones hold about so many classes
 #: and strays.
-SMALL_HUB, HUB_BLOCK, STRAY_BLOCK = 16, 256, 512
+SMALL_HUB, HUB_BLOCK, STRAY_BLOCK = 16, 512, 256
+#: A first element of more classes is frequent. Places that elements are counted in (a power of two).
+FREQUENT, PLACES = 64, 1 << 20
+#: Pairs of one class that are verified in one place.
+SET_PART = 100
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -122,12 +129,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.save(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets share at least ``percent`` of a hundred of their union."""
+    parts = scratch.save(parts_of(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a", most=SET_PART), f"{name}_parts")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = join_split(pairs, left, "a", small(parts, parts.count()), "b").join(right, "b")
     return joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
@@ -151,37 +159,96 @@ def _block_links(asked: pa.Table, held: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def _residual(scratch: Scratch, buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual(scratch: Scratch, buckets: DataFrame, crowded: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that buckets hold apart.
 
     A bucket's hub is its pivot's component; what is in the bucket but not in that component strayed. All strays of
-    a hub are compared with all classes in the hub's open buckets, so every pair that shares a bucket is.
+    a hub are candidates of all classes in the hub's open buckets, so every pair that shares a bucket is.
     """
     own = labels.select("node", "component")
     hubs = labels.select(F.col("node").alias("pivot"), F.col("component").alias("hub"))
-    tagged = buckets.join(own, "node", "left").join(hubs, "pivot", "left")
+    n_labels = labels.count()
+    tagged = buckets.join(small(own, n_labels), "node", "left").join(small(hubs, n_labels), "pivot", "left")
     tagged = tagged.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "pivot").alias("hub"))
-    stray = tagged.where("component <> hub")
-    members = tagged.join(stray.select("bucket").distinct(), "bucket", "left_semi").select("hub", "node", "n", "component").distinct()
+    opened = scratch.save(tagged.where("component <> hub").select("bucket").distinct(), "opened")
+    n_opened = opened.count()
+    if n_opened <= BROADCAST_ROWS:
+        in_open = tagged.join(F.broadcast(opened), "bucket", "left_semi")
+    else:
+        in_open = join_split(tagged, opened, "bucket", crowded, "node", "left_semi")
+    members = in_open.select("hub", "node", "n", "component").distinct()
     members = scratch.save(members.withColumn("stray", F.col("component") != F.col("hub")), "members")
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("stray"), 1)).alias("strays"))
+    sizes = scratch.save(members.groupBy("hub").agg(F.count(F.lit(1)).alias("c")), "hubs")
+    is_small = F.col("c") <= SMALL_HUB
+    sized = members.join(small(sizes, sizes.count()), "hub")
     # few: pairs, but for those with the pivot that the first round has tested
-    few = members.join(sizes.where(F.col("all") <= SMALL_HUB).select("hub"), "hub")
-    left = few.where("stray").select("hub", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"))
-    right = few.select("hub", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"), F.col("stray").alias("y_stray"))
+    few = sized.where(is_small)
+    pairs = scratch.save(_apart(few, few, "hub", percent).join(tested, ["a", "b"], "left_anti"), "few")
+    large = scratch.save(sized.where(~is_small).drop("c"), "large")
+    if large.isEmpty():
+        return _linked(scratch, pairs, sets, percent, "few")
+    rare, blocked = _large_hubs(scratch, large, sets, percent)
+    both = scratch.save(pairs.unionByName(rare.join(tested, ["a", "b"], "left_anti")).distinct(), "both")
+    return _linked(scratch, both, sets, percent, "both").unionByName(blocked)
+
+
+def _apart(strays: DataFrame, classes: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of a stray and a class that share ``key``, are of different components and whose sizes allow a link."""
+    left = strays.where("stray").select(key, F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"))
+    right = classes.select(key, F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"), F.col("stray").alias("y_stray"))
     apart = F.expr(f"x_part <> y_part and (x < y or not y_stray) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-    pairs = left.join(right, "hub").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = _linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
-    # many: strays in blocks against classes in blocks, compared within a task
-    blocks = sizes.where(F.col("all") > SMALL_HUB).select("hub", F.ceil(F.col("all") / HUB_BLOCK).cast("int").alias("rows"), F.ceil(F.col("strays") / STRAY_BLOCK).cast("int").alias("columns"))
-    many = scratch.save(members.join(blocks, "hub").join(sets, "node"), "many")
+    return left.join(right, key).where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _first_elements(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows with ``firsts`` for ``elements``: the first ones in order of their places' counts, then of their values."""
+    for batch in batches:
+        firsts = []
+        for own in batch["elements"]:
+            x = np.asarray(own.values, np.int64)
+            order = np.lexsort((x, counts[x & (len(counts) - 1)]))
+            firsts.append(x[order[: len(x) + 1 + (-percent * len(x)) // 100]])
+        names = ["node", "n", "component", "stray"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(firsts, pa.list_(pa.int64()))], [*names, "firsts"])
+
+
+def _large_hubs(scratch: Scratch, large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the classes of large hubs: pairs to verify that share a first element of few classes, and links of the others.
+
+    Two sets that link share an element among the first ``n - ceil(percent * n / 100) + 1`` of each, in any order
+    that holds for all sets. Rare elements come first here: the order is that of counts in PLACES places that
+    elements are hashed to. A class one of whose first elements is shared by many classes is an "other".
+    """
+    nodes = large.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max("stray").alias("stray"))
+    bags = scratch.save(nodes.join(sets, "node"), "bags")
+    place = F.explode(F.transform("elements", lambda e: e.bitwiseAND(PLACES - 1).cast("int"))).alias("place")
+    seen = bags.select(place).groupBy("place").count().toArrow()  # PLACES rows at most
+    counts = np.zeros(PLACES, np.int64)
+    counts[np.asarray(seen["place"])] = np.asarray(seen["count"])
+    shared = scratch.spark.sparkContext.broadcast(counts)
+    firsts = bags.mapInArrow(lambda it: _first_elements(it, shared.value, percent), "node long, n int, component long, stray boolean, firsts array<long>")
+    heads = scratch.save(firsts.select("node", "n", "component", "stray", F.explode("firsts").alias("element")), "heads")
+    frequent = scratch.save(heads.groupBy("element").count().where(F.col("count") > FREQUENT).select("element"), "frequent")
+    frequent = small(frequent, frequent.count())
+    rare = heads.join(frequent, "element", "left_anti")
+    pairs = _apart(rare, rare, "element", percent)
+
+    # others by size: those that link are of one or of neighbouring sizes
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.001 * 100 / percent))).cast("int").alias("size")
+    others = bags.join(heads.join(frequent, "element", "left_semi").select("node").distinct(), "node", "left_semi").select("node", "elements")
+    left = scratch.save(large.join(others.select("node"), "node", "left_semi").select("hub", "node", "component", "stray", size), "left")
+    asking = left.where("stray").select("hub", "node", "component", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
+    columns = asking.groupBy("hub", "size").agg(F.ceil(F.count(F.lit(1)) / STRAY_BLOCK).cast("int").alias("columns"))
+    blocks = scratch.save(left.groupBy("hub", "size").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("rows")).join(columns, ["hub", "size"]), "blocks")
+    blocks = small(blocks, blocks.count())
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = many.where("stray").select("hub", place("columns").alias("column"), spread("rows").alias("row"), "node", "component", "elements")
-    held = many.select("hub", spread("columns").alias("column"), place("rows").alias("row"), "node", "component", "elements")
-    key = ["hub", "row", "column"]
-    compared = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(lambda x, y: _block_links(x, y, percent), "a long, b long")
-    return links.unionByName(compared)
+    spread_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["hub", "size", "row", "column"]
+    asked = asking.join(blocks, ["hub", "size"]).join(others, "node").select("hub", "size", place("columns").alias("column"), spread_to("rows").alias("row"), "node", "component", "elements")
+    # named anew, as both sides come from the same tables
+    again = [F.col(c).alias(c) for c in ("hub", "size", "node", "component", "elements")]
+    held = left.join(blocks, ["hub", "size"]).join(others, "node").select(*again, spread_to("columns").alias("column"), place("rows").alias("row"))
+    return pairs, asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(lambda x, y: _block_links(x, y, percent), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -200,28 +267,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(source.mapInArrow(lambda it: _sign(it, shingle, bands, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "signed")
     members = signed.where("key is not null and doc_id is not null")
-    classes = scratch.save(members.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.save(members.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "classes")
     spread = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    pivots = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
-    buckets = scratch.save(spread.join(pivots, "bucket"), "buckets")
+    pivots = scratch.save(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot < last"), "pivots")
+    crowded = parts_of(pivots, "bucket")
+    crowded = small(crowded, crowded.count())
+    buckets = scratch.save(join_split(spread, pivots.select("bucket", "pivot"), "bucket", crowded, "node"), "buckets")
     nodes = scratch.save(buckets.select("node").distinct(), "nodes")
     n_nodes = nodes.count()
     labels = nodes.select("node", F.col("node").alias("component")).limit(0)
     if n_nodes:
         wanted = source.join(small(nodes, n_nodes), F.col("doc_id") == F.col("node"), "left_semi")
         sets = scratch.save(wanted.mapInArrow(lambda it: _full_sets(it, shingle), "node long, elements array<long>"), "sets")
-        stars = scratch.save(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        links = scratch.save(_linked(stars, sets, percent), "links")
+        stars = scratch.save(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars_of_pivots")
+        links = scratch.save(_linked(scratch, stars, sets, percent, "stars"), "links")
         labels = components(scratch, links)
-        more = scratch.save(_residual(scratch, buckets, labels, stars, sets, percent), "more")
-        scratch.drop("members", "many", "pairs")
+        more = scratch.save(_residual(scratch, buckets, crowded, labels, stars, sets, percent), "more")
         if more.count():
             labels = components(scratch, links.unionByName(more))
-        scratch.drop("sets")
-    scratch.drop("buckets")
+        scratch.drop("members", "few", "large", "both", "bags", "heads", "left", "stars_of_pivots", "sets")
+    scratch.drop("buckets", "pivots")
     # a class of one document that nothing is linked with is its own component
-    named = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    ids = signed.where("doc_id is not null").select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    own = ids.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    copied = parts_of(classes, "key")
+    keyed = signed.where("doc_id is not null and key is not null").select("doc_id", "n_shingles", "key")
+    known = join_split(keyed, named, "key", small(copied, copied.count()), "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = signed.where("doc_id is not null and key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     rest = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return own.unionByName(rest)

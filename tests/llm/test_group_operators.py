@@ -64,10 +64,36 @@ def test_exact_top_k(spark, vectors, monkeypatch):
     )
     monkeypatch.setattr(topk, "GROUP", 64)  # several groups, and batches of queries
     monkeypatch.setattr(topk, "BATCH", 8)
+    monkeypatch.setattr(topk, "CHUNK", 2)
     got = topk.exact_top_k(spark, frame_of(spark, vectors), k=6, every=10)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == expected
 
 
+def test_top_k_of_queries_that_share_an_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(1, 60)] + [(100, [1.0, 2.0, 3.0]), (100, [-1.0, 0.5, 0.0]), (100, [1.0, 2.0, 3.0])]
+    whole = lambda v: [math.floor(1024 * x) for x in np.float32(v).astype(float)]
+    expected = []
+    for i, q in rows:
+        best = sorted((-sum(x * y for x, y in zip(whole(q), whole(v), strict=True)), c) for c, v in rows if c != i)[:10]
+        expected += [(i, n, c, -s) for n, (s, c) in enumerate(best, 1) if i == 100]
+    got = topk.exact_top_k(spark, frame_of(spark, rows)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
+
+
+def test_top_k_beyond_64_bits(spark):
+    big, most = 1e300, 2**63 - 1
+    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [big, -big]), (4, [0.0, 2.0]), (5, [1e-3, 2.0]), (6, [2.0, 0.0])]
+    frame = spark.createDataFrame([(*r, "", "") for r in rows], VECTORS.replace("float", "double"))
+    got = [(r["vec_id"], r["score"]) for r in topk.exact_top_k(spark, frame, k=6).orderBy("rank").collect()]
+    assert got == [(1, most), (3, most), (5, most), (6, most), (4, 1024 * 2048), (2, -most)]
+    plain = lambda v: [math.floor(1024 * x) for x in v]
+    middle = [(0, [3e6, 1.0]), (1, [2.5e6, -7.25]), (2, [-1e6, 3e6])]
+    frame = spark.createDataFrame([(*r, "", "") for r in middle], VECTORS.replace("float", "double"))
+    got = {r["vec_id"]: r["score"] for r in topk.exact_top_k(spark, frame).collect()}
+    assert got == {i: sum(x * y for x, y in zip(plain(middle[0][1]), plain(v), strict=True)) for i, v in middle[1:]}
+
+
 def test_few_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 2.0], "", ""), (5, [3.0, 4.0], "", "")], VECTORS)
     assert [(r["query_id"], r["vec_id"]) for r in topk.exact_top_k(spark, two, every=100).collect()] == [(0, 5)]
@@ -96,7 +122,8 @@ def test_one_list_is_exact(spark, vectors):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 40)  # lists of several blocks
+    monkeypatch.setattr(ann, "BLOCK", 40)  # lists of several blocks, and batches of queries
+    monkeypatch.setattr(ann, "BATCH", 7)
     monkeypatch.setattr(ann, "LIST", 64)
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = ann.nearest(spark, spark.read.parquet(f"{SF}/embeddings.parquet"), k=5, every=5).collect()
@@ -106,6 +133,20 @@ def test_recall(spark, monkeypatch):
     assert len(true & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(true)
 
 
+def test_nearest_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(1, 40)] + [(50, [1.0, 0.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0, 0.0]), (7, [1.0, 0.1, 0.0, 0.0]), (7, [1.0, 0.0, 0.1, 0.0])]
+    got = defaultdict(int)
+    for r in ann.nearest(spark, frame_of(spark, rows)).collect():
+        got[r["query_id"], r["vec_id"], round(r["score"], 5)] += 1
+    expected = Counter()
+    for i, q in rows:
+        if i == 50:
+            cos = [(-sum(x * y for x, y in zip(q, v, strict=True)) / math.sqrt(sum(x * x for x in v)), c) for c, v in rows if c != i]
+            expected.update((50, c, round(-s, 5)) for s, c in sorted(cos)[:5])
+    assert got == expected
+
+
 def plain_set(text, k):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
@@ -145,11 +186,15 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize(("k", "small"), [(2, 16), (2, 1), (5, 16)])
-def test_near_duplicates(spark, monkeypatch, k, small):
-    monkeypatch.setattr(near_dedup, "SMALL_HUB", small)  # 1: every hub is compared in blocks
+@pytest.mark.parametrize(("k", "small", "frequent"), [(2, 16, 64), (2, 1, 64), (2, 1, 2), (2, 1, 0), (5, 1, 3), (5, 16, 64)])
+def test_near_duplicates(spark, monkeypatch, k, small, frequent):
+    monkeypatch.setattr(near_dedup, "SMALL_HUB", small)  # 1: every hub counts as large
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)  # 0: all of it in blocks
     monkeypatch.setattr(near_dedup, "HUB_BLOCK", 5)
     monkeypatch.setattr(near_dedup, "STRAY_BLOCK", 3)
+    monkeypatch.setattr(common, "PART", 4)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0 if frequent == 2 else 10_000)
+    monkeypatch.setattr(near_dedup, "SET_PART", 2)
     texts = near_texts()
     frame = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in texts.items()], f"{KIND}, node string, n int, key string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark, frame, shingle=k).collect()}
@@ -235,7 +280,10 @@ def check_shards(rows, texts, n_shards=8):
     return [sum(r["size"] for r in by_shard[s]) for s in range(n_shards)]
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("few", [sharding.FEW_GROUPS, 0])
+def test_sharding(spark, monkeypatch, few):
+    monkeypatch.setattr(sharding, "FEW_GROUPS", few)  # 0: groups are joined in parts
+    monkeypatch.setattr(common, "PART", 3)
     rng = random.Random(4)
     texts = [(i, "x" * rng.randrange(20, 400) + str(i)) for i in range(1500)]
     for g in range(60):
@@ -252,6 +300,14 @@ def test_sharding(spark):
     assert len(where) == 60 and all(len(s) == 1 for s in where.values())  # no group is cut
 
 
+def test_sharding_query(spark):
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = queries.op9_sharding(spark, SF).collect()
+    loads = check_shards(rows, texts)
+    assert max(loads) - min(loads) <= 2 * max(len((t or "").encode()) + 1 for _, t in texts)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
+
+
 def test_sharding_rows_that_agree_in_all(spark):
     texts = [(7, "one and the same")] * 500 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(100, 150)]
     rows = sharding.shard_documents(spark, spark.createDataFrame(texts, KIND).repartition(3)).collect()
