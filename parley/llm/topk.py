@@ -63,15 +63,23 @@ def _pack(batches: Iterator[pa.RecordBatch], dim: int, scale: float) -> Iterator
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of rows of integers that are held as doubles. Through doubles where those can't round, through 64-bit
-    integers where those can't overflow, else through unbounded ones; results beyond 64 bits are the nearest."""
+    integers where those can't overflow, else, for the rows that are too large, through unbounded ones; results
+    beyond 64 bits are the nearest."""
+    large_a, large_b = (np.abs(x).max(axis=1, initial=0.0) for x in (a, b))
     with np.errstate(over="ignore"):
-        most = np.abs(a).max() * np.abs(b).max() * a.shape[1] if a.size and b.size else 0.0
+        most = large_a.max(initial=0.0) * large_b.max(initial=0.0) * a.shape[1]
     if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
     if most < 2.0**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object)
-    return np.clip(whole(a) @ whole(b).T, -_HIGH, _HIGH).astype(np.int64)
+    fits_a, fits_b = (large < (2.0**62 / a.shape[1]) ** 0.5 for large in (large_a, large_b))
+    out = np.empty((len(a), len(b)), np.int64)
+    out[np.ix_(fits_a, fits_b)] = a[fits_a].astype(np.int64) @ b[fits_b].astype(np.int64).T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    for rows, columns in ((~fits_a, np.ones(len(b), bool)), (fits_a, ~fits_b)):
+        if rows.any() and columns.any():
+            out[np.ix_(rows, columns)] = np.clip(whole(a[rows]) @ whole(b[columns]).T, -_HIGH, _HIGH).astype(np.int64)
+    return out
 
 
 def _both_signs(terms: np.ndarray) -> np.ndarray:

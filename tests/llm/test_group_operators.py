@@ -81,6 +81,15 @@ def test_top_k_of_queries_that_share_an_id(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
 
 
+def test_exact_products_of_any_size():
+    rng = np.random.default_rng(3)
+    for scales in ([0, 20], [0, 31], [0, 40, 70], [1000, 1020]):
+        a, b = (np.floor(rng.normal(size=(n, 5)) * np.exp2(rng.choice(scales, (n, 1)))) for n in (7, 9))
+        plain = [[min(max(sum(int(x) * int(y) for x, y in zip(p, q, strict=True)), 1 - 2**63), 2**63 - 1) for q in b] for p in a]
+        assert topk._exact(a, b).tolist() == plain
+    assert topk._exact(np.zeros((0, 5)), np.zeros((3, 5))).shape == (0, 3)
+
+
 def test_top_k_beyond_64_bits(spark):
     big, most = 1e300, 2**63 - 1
     rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [big, -big]), (4, [0.0, 2.0]), (5, [1e-3, 2.0]), (6, [2.0, 0.0])]
