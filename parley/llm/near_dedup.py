@@ -35,7 +35,7 @@ BANDS, ROWS = 40, 6
 #: and strays.
 SMALL_HUB, HUB_BLOCK, STRAY_BLOCK = 16, 512, 256
 #: A first element of more classes is frequent. Places that elements are counted in (a power of two).
-FREQUENT, PLACES = 64, 1 << 20
+FREQUENT, PLACES = 64, 1 << 18
 #: Pairs of one class that are verified in one place.
 SET_PART = 100
 
