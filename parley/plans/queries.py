@@ -83,16 +83,16 @@ def trim_blank_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each recorded conversation as a text document, written to the shared folder by Spark and read whole; then a
-    binary file, a folder, and nothing."""
+    """All recorded conversations as text documents of ten each, written to the shared folder by Spark and read whole;
+    then a binary file, a folder, and nothing."""
     folder = run_dir(spark, "parley-documents")
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    texts = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("value"))
-    texts.write.partitionBy("conv_id").text(folder)
+    turns = F.sort_array(F.collect_list(F.struct("conv_id", "turn", "role", "text")))
+    texts = _table(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 10).cast("long").alias("part")).agg(F.array_join(F.transform(turns, lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("value"))
+    texts.write.partitionBy("part").text(folder)
     odd = {f"{sf_dir}/nation.parquet": "a binary file", sf_dir: "a folder", f"{sf_dir}/missing.md": "nothing"}
     written = [r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]  # the paths alone
     found = read_documents(spark, [*written, *odd])
-    named = F.coalesce(*(F.when(F.col("path") == p, n) for p, n in odd.items()), F.regexp_extract("path", "conv_id=([^/]+)", 1))
+    named = F.coalesce(*(F.when(F.col("path") == p, n) for p, n in odd.items()), F.regexp_extract("path", "part=([^/]+)", 1))
     return found.select(named.alias("name"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"), F.substring_index("error", ":", 1).alias("error"))
 
 
@@ -192,9 +192,9 @@ ORACLE_SQL = {
         open AS (SELECT *, max(coalesce(lower(line) IN ('exit', 'quit'), false)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS stopped FROM trimmed)
         SELECT conv_id, turn, line FROM open WHERE stopped = 0 AND coalesce(line, '') <> ''""",
     "document_scan": """
-        WITH texts AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) AS raw FROM conversations GROUP BY conv_id),
-        contents AS (SELECT conv_id, replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM texts)
-        SELECT conv_id::VARCHAR AS name, length(content)::BIGINT AS n_chars, md5(content) AS content_md5, NULL AS error FROM contents
+        WITH texts AS (SELECT conv_id // 10 AS part, string_agg(role || ': ' || text, chr(10) ORDER BY conv_id, turn) || chr(10) AS raw FROM conversations GROUP BY conv_id // 10),
+        contents AS (SELECT part, replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM texts)
+        SELECT part::VARCHAR AS name, length(content)::BIGINT AS n_chars, md5(content) AS content_md5, NULL AS error FROM contents
         UNION ALL VALUES ('a binary file', NULL, NULL, 'UnicodeDecodeError'), ('a folder', NULL, NULL, 'IsADirectoryError'), ('nothing', NULL, NULL, 'not found')""",
     "chat_fold": _CHAT,
     "chat_stream": _CHAT.replace("SELECT conv_id, turn, question,", "SELECT conv_id, seq AS turn, question,").replace("FROM (SELECT conv_id, turn,", "FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,"),
