@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity
+from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity, trie
 from .common import fold_of, read_table
 
 
@@ -80,6 +80,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(spark, docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt to start as the first of its hundred."""
+    return trie.prefix_trie(spark, read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
+    "op12_trie": op12_trie,
 }
 
 ORACLE_SQL = {
@@ -128,4 +134,25 @@ ORACLE_SQL = {
         least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
         SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id, s.doc_id = component_id AS kept
         FROM sizes s LEFT JOIN least l USING (doc_id)""",
+    "op12_trie": """
+        WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+        heads AS (SELECT conv_id, (xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                      lambda a, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(a, b)), 4294967295), 4294967295) % 6)::BIGINT AS h FROM ids),
+        turns AS (SELECT conv_id, sha256(length(r) || ':' || r || t)[1:32] AS d, length(t) AS chars,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)[1:32], length(t)) AS n
+                  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+        rebuilt AS (SELECT h.conv_id, t.n AS place, d, chars FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.n <= h.h
+                    UNION ALL SELECT h.conv_id, h.h + t.n, d, chars FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.n > h.h),
+        prefixes AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS prefix, chars FROM rebuilt
+                     WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+                     UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+        lengths AS (SELECT conv_id, max(depth) AS whole FROM prefixes GROUP BY conv_id),
+        nodes AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = whole), '')) AS ends_sha256
+                  FROM prefixes JOIN lengths USING (conv_id) GROUP BY depth, prefix),
+        children AS (SELECT prefix[1:32 * (depth - 1)] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        above AS (SELECT n.prefix[1:32 * k] AS prefix, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+                  FROM nodes n LEFT JOIN children c USING (prefix), LATERAL (SELECT unnest(range(depth + 1)) AS k) GROUP BY 1)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, a.n_leaves, a.saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN above a USING (prefix) LEFT JOIN children c USING (prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:32 * (n.depth - 1)]""",
 }
