@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity, trie
+from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity, trie, whitening
 from .common import fold_of, read_table
 
 
@@ -80,6 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(spark, docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector, by exact covariances of 256 times its entries."""
+    found = whitening.whiten(spark, read_table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt to start as the first of its hundred."""
     return trie.prefix_trie(spark, read_table(spark, sf_dir, "conversations"))
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
+    "op11_whitening": op11_whitening,
     "op12_trie": op12_trie,
 }
 
