@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, near_dedup, packing, pii, sharding, topk, toxicity, trie, whitening
+from . import ann, langid, licenses, mixing, near_dedup, packing, pii, secrets, sharding, topk, toxicity, trie, whitening
 from .common import fold_of, read_table
 
 
@@ -91,6 +91,15 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(spark, read_table(spark, sf_dir, "conversations"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts by base kind, a digest of the base spans, all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(spark, docs, secrets.train_secrets(docs)).select("doc_id", "secret_spans")
+    base = pii.of_kinds(F.col("secret_spans"), secrets.BASE)
+    counts = [F.size(pii.of_kinds(F.col("secret_spans"), (k,))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.col("secret_spans").alias("spans"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -104,6 +113,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_whitening": op11_whitening,
     "op12_trie": op12_trie,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL = {
