@@ -21,7 +21,9 @@ from ..functions.shared import bound_batches
 BASE = ("email", "ip", "card", "phone")
 #: After the base kinds, those the anchors add.
 KINDS = (*BASE, "url", "iban", "account")
-CUES = ("account", "acct", "iban", "passport", "customer id", "user id", "api key", "api_key", "token", "secret", "password")
+CUES = ("account", "acct", "iban", "passport", "customer id", "user id", "client id", "api key", "access key", "token", "secret", "password")
+#: What may stand between the words of a cue.
+JOINERS = (" ", "_", "-", "")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IN_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -33,7 +35,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _AUTHORITY = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_VALUE = re.compile(r"(?:\s?(?:no\.?|number|nr\.?|#))?\s{0,2}[:=#]?\s{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_./+-]{4,})", re.I)
+_VALUE = re.compile(r"(?:[\s_-]?(?:no\.?|number|nr\.?|#))?(?:\sis\b)?\s{0,2}[:=#]?\s{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_./+-]{4,})", re.I)
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +48,9 @@ def _anchors():
     for mark, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         found.add_word(mark, (kind, len(mark)))
     for cue in CUES:
-        found.add_word(cue, ("cue", len(cue)))
+        for joiner in JOINERS:
+            spelling = cue.replace(" ", joiner)
+            found.add_word(spelling, ("cue", len(spelling)))
     found.make_automaton()
     return found
 
@@ -133,8 +137,9 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
             lo = at
             while lo > end["url"] and text[lo - 1] in _IN_SCHEME:
                 lo -= 1
-            m, tail = _SCHEME.search(text, lo, at), _AUTHORITY.match(text, at + 3)
-            if m and tail:
+            # what follows is read only if a scheme leads it, and then it is no other URL's: so it's read once
+            m = _SCHEME.search(text, lo, at)
+            if m and (tail := _AUTHORITY.match(text, at + 3)):
                 stop = tail.end()
                 while stop > at + 3 and text[stop - 1] in ".,;:!?)":
                     stop -= 1
