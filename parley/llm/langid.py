@@ -2,7 +2,7 @@
 
 A text's subwords (2 to 4 code points of a lower-cased word with its borders) are hashed to buckets, each with an
 embedding; their mean goes through a linear softmax. Both are trained together by stochastic gradient descent in
-numpy, on a bounded sample. Scoring needs no embeddings: a bucket's products with the softmax rows are summed.
+numpy, on a bounded sample. What is broadcast are both: the embeddings, of fixed size, and a short row for each language.
 Confidence is calibrated on rows held back from training: a temperature, and the threshold under which a
 prediction counts as rejected.
 """
@@ -25,8 +25,8 @@ from .common import bounded_sample
 UNKNOWN = "und"
 #: Hash buckets (a power of two), embedding size, and the subwords' lengths.
 BITS, DIM, LENGTHS = 16, 16, (2, 3, 4)
-#: At most so many rows train the model, so many of one language, and so many languages: the most frequent.
-SAMPLE_ROWS, CLASS_ROWS, MOST_LANGS = 6000, 1200, 400
+#: At most so many rows train the model (one of each language at least), and so many of one language.
+SAMPLE_ROWS, CLASS_ROWS = 6000, 1200
 #: Code points that are hashed at once.
 CHUNK = 1 << 20
 
@@ -34,7 +34,8 @@ CHUNK = 1 << 20
 @dataclass(frozen=True)
 class LanguageModel:
     langs: tuple[str, ...]
-    table: np.ndarray  # bucket by language: what a subword adds to the logits, before the mean
+    vectors: np.ndarray  # a bucket's embedding
+    weights: np.ndarray  # a language's row of the softmax
     temperature: float
     threshold: float
 
@@ -106,8 +107,7 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: tuple[str, ...],
             back = weights.T @ g
             weights -= step * np.outer(g, v)
             vectors[at] -= step * len(at) ** 0.5 * share * back
-    table = (vectors @ weights.T).astype(np.float32)
-    z = np.array([(share * table[at]).sum(axis=0) for _, at, share in held])
+    z = np.array([(share * vectors[at]).sum(axis=0) for _, at, share in held]) @ weights.T
     y = np.array([r[0] for r in held])
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -117,24 +117,22 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: tuple[str, ...],
     # the lowest confidence from which on at least 99 of 100 are right
     order = np.argsort(-sure, kind="stable")
     good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= 0.99)
-    return LanguageModel(langs, table, temperature, float(sure[order[good[-1]]]) if len(good) else 1.0)
+    return LanguageModel(langs, vectors, weights, temperature, float(sure[order[good[-1]]]) if len(good) else 1.0)
 
 
 def train_language_model(docs: DataFrame, epochs: int = 5, rate: float = 1.0, seed: int = 17) -> LanguageModel | None:
     """A model from the rows with a language; ``None`` if there are none.
 
-    At most SAMPLE_ROWS of them train it, an equal share for each language: those with the smallest hashes. At most
-    MOST_LANGS languages are learned, the most frequent. Of several texts or languages of an id, one is used; rows
+    At most SAMPLE_ROWS of them train it, an equal share for each language (one row at least, so there may be more rows
+    if there are more languages): those with the smallest hashes. All languages are learned. Of several texts or languages of an id, one is used; rows
     without an id teach nothing. One task fits the sample; only the model comes to the driver.
     """
     bound_batches(docs.sparkSession)
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", lang.alias("lang"), text.alias("text"))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    langs = tuple(sorted(r["lang"] for r in most))
+    langs = tuple(sorted(r["lang"] for r in known.select("lang").distinct().collect()))  # names of languages, not rows
     if not langs:
         return None
-    known = known.where(F.col("lang").isin(*langs))
     ids = bounded_sample(known.select("doc_id", "lang"), "lang", max(1, min(CLASS_ROWS, SAMPLE_ROWS // len(langs))), seed)
     chosen = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct("lang", F.xxhash64("text"), "text")).alias("row"))
     counts = chosen.select("row.lang", "row.text").mapInArrow(_counts, "lang string, buckets array<int>, counts array<float>")
@@ -155,11 +153,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
     for batch in batches:
         langs, scores, rejected = [], [], []
         for text in batch["text"]:
-            sums, n = 0.0, 0
+            sums, n = np.zeros(DIM), 0
             for at in _subwords(text.as_py() or "") if model else ():
-                sums, n = sums + model.table[at].sum(axis=0, dtype=np.float64), n + len(at)
+                sums, n = sums + model.vectors[at].sum(axis=0, dtype=np.float64), n + len(at)
             if n:
-                p = _softmax(sums / n / model.temperature)
+                p = _softmax(model.weights @ (sums / n) / model.temperature)
                 best = int(p.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(p[best]))
