@@ -18,6 +18,7 @@ from .common import small
 MEAN, TERMS = 8, 64
 #: Sources that may be broadcast with their distributions, at about 600 bytes each.
 SOURCES = 20_000
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
 
 
 def _uniform(text: Column) -> Column:
@@ -48,8 +49,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
 
     Every row of a source is replicated by its own Poisson count, which may be 0. The count depends on the id
     and the seed alone (without an id: on the text), so repeated rows get equal counts and a rerun gives the
-    same. Null and empty texts count like others; other columns go along (those named ``mix_*`` are replaced);
-    an empty table stays empty.
+    same. Null and empty texts count like others; other columns go along, whatever their names, and only those
+    named as the four (in any case, as Spark compares names) are replaced; an empty table stays empty.
     """
     rates = source_rates(docs, weights, source, power, size)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN)).cast("int")
@@ -65,21 +66,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
         lambda acc: acc["all"],
     )
     table = rates.withColumn("parts", parts).withColumn("mean", F.col("rate") / F.col("parts")).select(F.col("mix_source").alias("mix_of"), F.col("rate").alias("mix_rate"), F.col("parts").alias("mix_parts"), cdf.alias("mix_cdf"))
-    names = [c for c in docs.columns if not c.startswith("mix_")]
-    joined = docs.select(*names).withColumn("mix_source", F.col(source).cast("string")).join(
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit("")
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(text)).alias("mix_ident")
+    names = [c for c in docs.columns if c.lower() not in ADDED]
+    # a row's own columns lie in a struct, where their names clash with none of these
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("mix_row"), F.col(source).cast("string").alias("mix_source"), ident, F.xxhash64(text).alias("mix_text"))
+    joined = own.join(
         small(table, rates.count(), SOURCES),
         F.col("mix_source").eqNullSafe(F.col("mix_of")),
     )
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     copies = F.aggregate(
         F.sequence(F.lit(0), F.col("mix_parts") - 1),
         F.lit(0),
-        lambda acc, j: acc + F.size(F.filter("mix_cdf", lambda c: c <= _uniform(F.concat_ws(":", ident, j.cast("string"), F.lit(str(seed)))))),
+        lambda acc, j: acc + F.size(F.filter("mix_cdf", lambda c: c <= _uniform(F.concat_ws(":", "mix_ident", j.cast("string"), F.lit(str(seed)))))),
     )
-    counted = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select(*names, "mix_rate", "mix_copies")
+    counted = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select("mix_row", "mix_ident", "mix_text", "mix_rate", "mix_copies")
     exploded = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit("order"), ident, F.col("mix_copy").cast("string"), F.lit(str(seed))))
+    key = F.md5(F.concat_ws(":", F.lit("order"), "mix_ident", F.col("mix_copy").cast("string"), F.lit(str(seed))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the text too, so that rows that share an id don't share a partition
-    apart = [F.xxhash64("text")] if "text" in names else []
-    return exploded.withColumn("mix_key", key).repartition(n, "mix_key", *apart).sortWithinPartitions("mix_key")
+    dealt = exploded.withColumn("mix_key", key).repartition(n, "mix_key", "mix_text").sortWithinPartitions("mix_key")
+    return dealt.select(*(F.col(f"mix_row.`{c}`").alias(c) for c in names), *ADDED)

@@ -261,6 +261,11 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     clash = mixing.mix(docs.selectExpr("*", "1 AS n", "2 AS rate", "3 AS mix_rate")).first()
     assert clash["n"] == 1 and clash["mix_rate"] != 3
+    names = docs.selectExpr("*", "5 AS Mix_Source", "6 AS mix_note", "7 AS MIX_COPY", "8 AS mix_row", "9 AS mix_text", "10 AS mix_parts", "11 AS mix_of")
+    kept = mixing.mix(names)
+    assert [c for c in kept.columns if c.lower() == "mix_copy"] == ["mix_copy"]
+    assert {tuple(r[c] for c in ("Mix_Source", "mix_note", "mix_row", "mix_text", "mix_parts", "mix_of")) for r in kept.collect()} == {(5, 6, 8, 9, 10, 11)}
+    assert Counter((r["doc_id"], r["text"], r["mix_copy"]) for r in kept.collect()) == Counter((r["doc_id"], r["text"], r["mix_copy"]) for r in mixing.mix(docs).collect())
 
 
 def test_mixing_texts_that_share_an_id(spark):

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -161,7 +163,7 @@ def test_language(spark, odd):
 def plain_language(text, model):
     """The likeliest language and its probability, one subword at a time."""
     codes = [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
-    sums, n_all = np.zeros(len(model.langs)), 0
+    sums, n_all = np.zeros(langid.DIM), 0
     for n in langid.LENGTHS:
         for i in range(len(codes) - n + 1):
             part = codes[i : i + n]
@@ -170,10 +172,11 @@ def plain_language(text, model):
             h = ord(part[0])
             for c in part[1:]:
                 h = (h * 0x01000193 ^ ord(c) * 0x85EBCA6B) % 2**32
-            sums, n_all = sums + model.table[(h + n) * 0x9E3779B1 % 2**32 >> 32 - langid.BITS], n_all + 1
+            sums, n_all = sums + model.vectors[(h + n) * 0x9E3779B1 % 2**32 >> 32 - langid.BITS], n_all + 1
     if not n_all:
         return "und", 0.0
-    e = np.exp(sums / n_all / model.temperature - (sums / n_all / model.temperature).max())
+    z = model.weights @ (sums / n_all) / model.temperature
+    e = np.exp(z - z.max())
     return model.langs[int(e.argmax())], float(e.max() / e.sum())
 
 
@@ -194,13 +197,19 @@ def test_language_of_odd_tables(spark, odd):
     assert langid.identify_language(spark, odd.limit(0), None).count() == 0
     again = docs.unionByName(docs.withColumn("text", F.lit("another text"))).unionByName(docs.withColumn("lang", F.lit("zz")))
     a, b = (langid.train_language_model(again.repartition(n)) for n in (2, 5))
-    assert a.langs == b.langs and np.array_equal(a.table, b.table)  # whichever row comes first
+    assert a.langs == b.langs and np.array_equal(a.vectors, b.vectors) and np.array_equal(a.weights, b.weights)  # whichever row comes first
 
 
-def test_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGS", 2)
-    rows = [(i, f"word{i % 7} of {lang}", lang) for i, lang in enumerate(["bb"] * 30 + ["aa"] * 20 + ["cc"] * 20 + ["dd"] * 5)]
-    assert langid.train_language_model(spark.createDataFrame(rows, f"{KIND}, lang string")).langs == ("aa", "bb")
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 2000)
+    word = lambda i: "".join(chr(97 + (i * p) % 26) for p in (1, 3, 7, 11, 17)) + chr(0x4E00 + i)
+    rows = [(k * 1000 + i, f"{word(i)} {word(i)}x {word(i)}", f"l{i:04}") for i in range(1000) for k in range(3)]
+    model = langid.train_language_model(spark.createDataFrame(rows, f"{KIND}, lang string"), epochs=12)
+    assert len(model.langs) == 1000 and model.weights.shape == (1000, langid.DIM) and model.vectors.nbytes == 4 << 20
+    few = spark.createDataFrame([(i, f"x{t}", l) for i, (_, t, l) in enumerate(rows[:60] * 5)], f"{KIND}, lang string")
+    model = langid.train_language_model(few, epochs=30)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_language(spark, few, model).collect()}
+    assert sum(got[i] == rows[i % 60][2] for i in got) >= 0.95 * len(got)
 
 
 def test_subwords_do_not_depend_on_chunks(monkeypatch):
@@ -389,3 +398,44 @@ def test_long_schemes():
     url = "com.example.mobile.application.callback+v2://open/x1"
     assert pii.spans_of(f"see {url}, then {url}.") == [(4, 4 + len(url), "url"), (11 + len(url), 11 + 2 * len(url), "url")]
     assert pii.spans_of(f"{'9' * 30}{url}")[-1][1:] == (30 + len(url), "url")
+
+
+def test_pii_cues_in_any_spelling():
+    for text, value in (
+        ("user_id: 48213344", "48213344"), ("customer_id=4821334", "4821334"), ("user-id: 48213344", "48213344"), ("api-key: 9f8e7d6c5b", "9f8e7d6c5b"), ("apikey=9f8e7d6c5b", "9f8e7d6c5b"),
+        ("account number is 12345678", "12345678"), ("My USER ID 48213344", "48213344"),
+    ):
+        assert [text[a:b] for a, b, k in pii.spans_of(text) if k == "account"] == [value]
+    assert pii.spans_of("tokens and accounts are counted, the secret garden") == []
+
+
+@pytest.mark.parametrize("piece", ["1://", "a://", "://", "a@", "a.b@c", "+1(", "1.1.1.", "11 ", "1-", "token=", "token/abcde ", "iban AB12", "user_id ", "http", "a.", "account number is "])
+def test_pii_takes_linear_time(piece):
+    text = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    pii.spans_of(text)
+    assert time.perf_counter() - start < 10  # a quadratic scan takes minutes
+
+
+def test_pii_base_columns_equal_sql(spark):
+    """The fixed kinds in DuckDB: a match's place follows from the pieces between matches."""
+    sf = "/root/testdata/sf0.01"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda p: p::HUGEINT <= 255))"),
+        "card": (r"[0-9](?:[ -]?[0-9])+", "len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[-i]::INT ELSE d[-i]::INT * 2 - 9 * (d[-i]::INT > 4)::INT END)) % 10 = 0"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "len(d) BETWEEN 9 AND 15"),
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS k, start, '{kind}:' || start || ':' || (start + len(m)) AS span FROM (
+            SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+                (list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))::BIGINT AS start
+            FROM (SELECT doc_id, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i
+                  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS pieces FROM docs))) WHERE {check}"""
+        for i, (kind, (pattern, check)) in enumerate(kinds.items())
+    )
+    sql = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM '{sf}/documents.parquet'), found AS ({found})
+        SELECT doc_id, {", ".join(f"count(*) FILTER (k = {i}) AS n_{kind}" for i, kind in enumerate(kinds))},
+            sha256(coalesce(string_agg(span, ',' ORDER BY start, k), '')) AS base_sha256 FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
+    got = queries.op2_pii(spark, sf).select("doc_id", *(f"n_{k}" for k in kinds), "base_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall()) and any(r["n_card"] for r in got)
