@@ -82,7 +82,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows replicated so that a source's share follows the square root of its size, in random order."""
     let_go(spark)
-    own = [c for c in docs.columns if c.lower().startswith("mix_")]
+    own = [c for c in docs.columns if c.lower() in mixing.ADDED]
     if not own:
         return mixing.mix(docs).select(*docs.columns)
     held = "held_" + "_".join(docs.columns)  # longer than any column's name
