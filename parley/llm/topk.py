@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, small
 from .vectors import matrix, top, usable
 
-#: Rows of a block, of a group, queries of a batch, and groups whose maxima are looked at together.
-BLOCK, GROUP, BATCH, CHUNK = 128, 8192, 2048, 1024
-#: Queries that may be broadcast, with their terms.
-FEW_QUERIES = 20_000
+#: Rows of a block, of a group, and groups whose maxima are looked at together.
+BLOCK, GROUP, CHUNK = 128, 8192, 1024
+#: Bytes of the terms of a batch of queries (16,384 queries of 64 dimensions), and of queries that may be broadcast.
+BATCH_BYTES, BROADCAST_BYTES = 8 << 20, 16 << 20
+#: Hits that a search holds before it drops those that aren't among the best.
+HELD = 1 << 20
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -111,16 +113,25 @@ def _reach(queries: pa.Table, bounds: pa.Table, dim: int) -> pa.Table:
     if queries.num_rows and bounds.num_rows:
         number, terms, floor = np.asarray(queries["query"], np.int64), _both_signs(_rows(queries["terms"], dim)), np.asarray(queries["floor"], np.int64)
         ends = np.concatenate([_rows(bounds["most"], dim), _rows(bounds["least"], dim)], axis=1)
-        for gid, bound in zip(bounds["gid"].to_pylist(), _exact(ends, terms), strict=True):
-            if len(reached := number[bound >= floor]):
-                gids.append(gid)
-                found.append(reached)
+        for lo in range(0, len(ends), 64):
+            for gid, bound in zip(bounds["gid"].slice(lo, 64).to_pylist(), _exact(ends[lo : lo + 64], terms), strict=True):
+                if len(reached := number[bound >= floor]):
+                    gids.append(gid)
+                    found.append(reached)
     return pa.table({"gid": pa.array(gids, pa.int64()), "queries": pa.array(found, pa.list_(pa.int64()))})
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best hits of each query."""
+    q, c, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    at, _ = top(q, s, c, k)
+    return q[at], c[at], s[at]
+
+
 def _search(queries: pa.Table, groups: pa.Table, dim: int, k: int) -> pa.Table:
     """One batch of queries against one group."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
     number, q_ids = (np.asarray(queries[c], np.int64) for c in ("query", "query_id"))
     terms, floor = _rows(queries["terms"], dim), np.asarray(queries["floor"], np.int64).copy()
     for ids, rows in zip(groups["ids"], groups["rows"], strict=True) if len(q_ids) else ():
@@ -144,9 +155,12 @@ def _search(queries: pa.Table, groups: pa.Table, dim: int, k: int) -> pa.Table:
                 q, c = np.nonzero((scores >= floor[who][:, None]) & (scores > _LOW))
                 at, _ = top(q, scores[q, c], ids_[c], k)
                 found.append((who[q[at]], ids_[c[at]], scores[q[at], c[at]]))
-    q, c, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    at, _ = top(q, s, c, k)
-    return pa.table({"query": number[q[at]], "query_id": q_ids[q[at]], "vec_id": c[at], "score": s[at]})
+                held += len(at)
+                if held > HELD:
+                    found = [_best(found, k)]
+                    held = len(found[0][0]) // 2  # what is best stays, so the next time comes later
+    q, c, s = _best(found, k)
+    return pa.table({"query": number[q], "query_id": q_ids[q], "vec_id": c, "score": s})
 
 
 def exact_top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0) -> DataFrame:
@@ -173,16 +187,17 @@ def exact_top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int
     seeded = groups.select("ids", "rows").mapInArrow(lambda it: _seed(it, dim, k, every), "query_id long, terms binary, floor long")
     queries = scratch.save(seeded.withColumn("query", F.monotonically_increasing_id()), "queries")
     n_queries = queries.count()
-    n_chunks, n_batches = max(1, -(-groups.count() // CHUNK)), max(1, -(-n_queries // BATCH))
+    batch = max(1, BATCH_BYTES // (8 * dim))
+    n_chunks, n_batches = max(1, -(-groups.count() // CHUNK)), max(1, -(-n_queries // batch))
     dealt_to = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asking = queries.select("query", "terms", "floor", dealt_to("query", n_batches).alias("batch"), each(n_chunks).alias("chunk"))
     bounds = groups.select("gid", "most", "least", dealt_to("gid", n_chunks).alias("chunk"), each(n_batches).alias("batch"))
     reached = asking.groupBy("chunk", "batch").cogroup(bounds.groupBy("chunk", "batch")).applyInArrow(lambda a, b: _reach(a, b, dim), "gid long, queries array<long>")
     pairs = scratch.save(reached, "pairs")
-    sizes = scratch.save(pairs.groupBy("gid").agg(F.ceil(F.sum(F.size("queries")) / BATCH).cast("int").alias("batches")), "sizes")
+    sizes = scratch.save(pairs.groupBy("gid").agg(F.ceil(F.sum(F.size("queries")) / batch).cast("int").alias("batches")), "sizes")
     sizes = small(sizes, sizes.count())
-    asked = pairs.select("gid", F.explode("queries").alias("query")).join(small(queries, n_queries, FEW_QUERIES), "query").join(sizes, "gid")
+    asked = pairs.select("gid", F.explode("queries").alias("query")).join(small(queries, n_queries * dim * 8, BROADCAST_BYTES), "query").join(sizes, "gid")
     left = asked.select("gid", F.pmod(F.xxhash64("query"), F.col("batches")).alias("batch"), "query", "query_id", "terms", "floor")
     right = groups.join(sizes, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - F.lit(1).cast("long"))).alias("batch"), "ids", "rows")
     near = left.groupBy("gid", "batch").cogroup(right.groupBy("gid", "batch")).applyInArrow(lambda a, b: _search(a, b, dim, k), "query long, query_id long, vec_id long, score long")
