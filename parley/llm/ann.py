@@ -31,8 +31,8 @@ SAMPLE, LIST, MOST_LISTS = 16_384, 512, 2048
 BOUNDARY, COPIES = 1.05, 4
 #: Neighbours of a centroid in the graph; rows of a list's block; queries of a batch.
 DEGREE, BLOCK, BATCH = 32, 8192, 2048
-#: Queries that may be broadcast, with their vectors.
-FEW_QUERIES = 20_000
+#: Bytes of the vectors of queries that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -200,7 +200,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50
 
     Null, empty and zero vectors, those with null or non-finite components, with another dimension than most, or
     with a null id take no part. Rows that share an id are not candidates of one another; each is a candidate of
-    others, and each is a query with a list of its own. With fewer than ``k`` others, all are returned. An empty
+    others, and each is a query with a list of its own. With fewer than ``k`` others, all are returned: a query whose
+    lists hold fewer, as very many rows share its id, is compared with every list. An empty
     table gives no rows; other columns are ignored. ``recall`` is the share of true neighbours within the sample
     that calibrates the search.
     """
@@ -224,16 +225,29 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50
         sizes[r["list"]] = r["count"]
     queries = scratch.save(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding").withColumn("query", F.monotonically_increasing_id()), "queries")
     asked = scratch.save(queries.mapInArrow(lambda it: _ask(it, dim, shared.value, sizes, 4 * (k + 1)), "list int, query long"), "asked")
+    near = scratch.save(_search(asked, queries, lists, dim, k, seed), "near")
+    # lists that are full of the query's own id may leave it short
+    full = near.groupBy("query").count().where(F.col("count") >= k).select("query")
+    short = scratch.save(queries.join(full, "query", "left_anti"), "short")
+    if short.isEmpty():
+        return near.drop("query")
+    everywhere = short.select("query", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))).alias("list"))
+    again = _search(scratch.save(everywhere, "everywhere"), short, lists, dim, k, seed)
+    return near.join(short.select("query"), "query", "left_anti").unionByName(again).drop("query")
+
+
+def _search(asked: DataFrame, queries: DataFrame, lists: DataFrame, dim: int, k: int, seed: int) -> DataFrame:
+    """(query, query_id, rank, vec_id, score): the k best rows for each query in the lists that it asks."""
     # one row for each list: its blocks, and the batches of its queries
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     meets = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("batches")).join(blocks, "list"))
     dealt = lambda c, m: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    asking = asked.join(meets, "list").join(small(queries, queries.count(), FEW_QUERIES), "query")
+    asking = asked.join(meets, "list").join(small(queries, queries.count() * dim * 8, BROADCAST_BYTES), "query")
     left = asking.select("list", each("blocks").alias("block"), dealt("query", "batches").alias("batch"), "query", "query_id", "embedding")
     right = lists.join(meets, "list").select("list", dealt("row", "blocks").alias("block"), each("batches").alias("batch"), "row", "vec_id", "embedding")
     key = ["list", "block", "batch"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _compare(a, b, dim, k), "query long, query_id long, row long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))  # a row lies in several lists
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "query_id", "rank", "vec_id", "score")
