@@ -258,7 +258,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     their union; ``component_id`` is the smallest id that links reach, and the row with it is kept.
 
     A text without words (null, empty, blank) has an empty set, is linked with nothing and stays. Equal sets are
-    linked. Rows that share an id count as one document and get one component. A row without an id is
+    linked. Rows that share an id count as one document and get one component, whatever their texts. A row without an id is
     linked with nothing, has no component and is kept. Texts are read whole, however long. An empty table gives no
     rows; other columns are ignored.
     """
@@ -266,6 +266,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     scratch = Scratch(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(source.mapInArrow(lambda it: _sign(it, shingle, bands, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "signed")
+    # an id's texts, by their sets; no text counts as one of its own
+    texts = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("key", F.lit(b""))).alias("one"), F.max(F.coalesce("key", F.lit(b""))).alias("other"))
+    if not texts.where("one < other").isEmpty():
+        scratch.drop("signed")
+        return _by_parts(scratch, source, shingle, percent, bands, rows)
     members = signed.where("key is not null and doc_id is not null")
     classes = scratch.save(members.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "classes")
     spread = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
@@ -296,3 +301,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     own = known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     rest = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return own.unionByName(rest)
+
+
+def _by_parts(scratch: Scratch, docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_duplicates`` of a table where an id stands on several texts.
+
+    Each pair of an id and a text gets a number, which grows with the id, and the numbers are grouped; then an id links
+    the groups of its texts.
+    """
+    spark = scratch.spark
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    pairs = hashed.where("doc_id is not null").select(F.col("doc_id").alias("part_id"), F.col("hash").alias("part_hash")).distinct().orderBy("part_id", "part_hash")
+    parts = scratch.save(pairs.withColumn("part", F.monotonically_increasing_id()), "parts")
+    n = parts.count()
+    same = (F.col("doc_id") == F.col("part_id")) & (F.col("hash") == F.col("part_hash"))
+    numbered = scratch.save(hashed.join(small(parts, n), same, "left").select(F.col("part").alias("doc_id"), "text"), "numbered")
+    found = scratch.save(near_duplicates(spark, numbered, shingle, percent, bands, rows).select(F.col("doc_id").alias("part"), "n_shingles", F.col("component_id").alias("group")), "found")
+    of_part = found.where("part is not null").select("part", "group").distinct()
+    groups = of_part.join(small(parts, n), "part").select("part_id", "group").distinct()
+    first = groups.groupBy("part_id").agg(F.min("group").alias("a"), F.max("group").alias("last")).where("a < last").select("part_id", "a")
+    links = scratch.save(groups.join(first, "part_id").where("a < group").select("a", F.col("group").alias("b")).distinct(), "links_of_ids")
+    labels = scratch.save(components(scratch, links).select(F.col("node").alias("group"), "component"), "labels_of_groups")
+    # numbers grow with ids, so the smallest number of a component is of its smallest id
+    roots = of_part.select("group").distinct().join(small(labels, labels.count()), "group", "left").select("group", F.coalesce("component", "group").alias("part"))
+    ids = parts.select("part", "part_id")
+    named = scratch.save(roots.join(small(ids, n), "part").select("group", F.col("part_id").alias("component_id")), "named")
+    own = found.where("part is not null").join(small(ids, n), "part").join(small(named, named.count()), "group")
+    own = own.select(F.col("part_id").alias("doc_id"), "n_shingles", "component_id", (F.col("part_id") == F.col("component_id")).alias("kept"))
+    rest = found.where("part is null").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return own.unionByName(rest)

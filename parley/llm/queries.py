@@ -139,17 +139,17 @@ ORACLE_SQL = {
         SELECT doc_id, source, text, round(rate, 6) AS rate, copies::BIGINT AS copies, copy, md5('order:' || doc_id || ':' || copy || ':17') AS order_key
         FROM counted, LATERAL (SELECT unnest(range(1, copies::BIGINT + 1)) AS copy)""",
     "op7_near_dedup": """
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-        sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
-        sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
-        spread AS (SELECT doc_id, unnest(s) AS x FROM sets),
-        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM spread a JOIN spread b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-        links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
-        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        sets AS (SELECT doc_id, r, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        sizes AS (SELECT doc_id, r, len(s)::BIGINT AS n FROM sets),
+        spread AS (SELECT r, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
+        shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM spread a JOIN spread b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+        links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
         reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
         least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
-        SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id, s.doc_id = component_id AS kept
+        SELECT s.doc_id, s.n AS n_shingles, CASE WHEN s.doc_id IS NOT NULL THEN least(s.doc_id, coalesce(l.m, s.doc_id)) END AS component_id, coalesce(s.doc_id = component_id, true) AS kept
         FROM sizes s LEFT JOIN least l USING (doc_id)""",
     "op12_trie": """
         WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
