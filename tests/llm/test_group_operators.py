@@ -22,7 +22,7 @@ VECTORS = "vec_id long, embedding array<float>, score string, rank string"
 
 def sql_rows(name, sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cursor = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
@@ -63,7 +63,8 @@ def test_exact_top_k(spark, vectors, monkeypatch):
         for n, (s, c) in enumerate(sorted(((sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in rows if c != q), key=lambda t: (-t[0], t[1]))[:6], 1)
     )
     monkeypatch.setattr(topk, "GROUP", 64)  # several groups, and batches of queries
-    monkeypatch.setattr(topk, "BATCH", 8)
+    monkeypatch.setattr(topk, "BATCH_BYTES", 8 * 4 * 8)
+    monkeypatch.setattr(topk, "HELD", 20)
     monkeypatch.setattr(topk, "CHUNK", 2)
     got = topk.exact_top_k(spark, frame_of(spark, vectors), k=6, every=10)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == expected
@@ -156,6 +157,19 @@ def test_nearest_of_rows_that_share_an_id(spark):
     assert got == expected
 
 
+def test_nearest_where_most_rows_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 16)
+    rng = np.random.default_rng(8)
+    rows = [(50, [1.0, 0.0, 0.0, round(float(x), 3)]) for x in rng.normal(size=300) * 0.01]
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(size=4) - [3, 0, 0, 0]]) for i in range(1, 4)]
+    rows += [(100, [-1.0, 0.5, 0.0, 0.0])]
+    got = defaultdict(set)
+    for r in ann.nearest(spark, frame_of(spark, rows), k=5).collect():
+        got[r["query_id"]].add((r["rank"], r["vec_id"]))
+    assert {v for _, v in got[50]} == {1, 2, 3, 100} and {n for n, _ in got[50]} == {1, 2, 3, 4}
+    assert len(got[100]) == 5
+
+
 def plain_set(text, k):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
@@ -210,6 +224,26 @@ def test_near_duplicates(spark, monkeypatch, k, small, frequent):
     assert got == plain_groups(texts, k)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_that_stand_on_several_texts(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    texts = list(near_texts().values())[:40] if seed == 2 else ["A a a", "A a a", "B b c", "B b c"]
+    rows = [(3, texts[0]), (5, texts[1]), (5, texts[2]), (9, texts[3])]
+    if seed == 2:
+        rows = [(rng.randrange(25), t) for t in [*texts, *rng.choices(texts, k=20)]] + [(3, None), (3, ""), (99, None)]
+    docs = spark.createDataFrame(rows, KIND)
+    got = Counter(map(tuple, near_dedup.near_duplicates(spark, docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), shingle=2).collect()))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ("doc_id", "n_shingles", "component_id", "kept")
+    expected = Counter(con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE_SQL['op7_near_dedup']})").fetchall())
+    assert Counter({r: n for r, n in got.items() if r[0] is not None}) == expected
+    assert sum(n for r, n in got.items() if r[0] is None and r[2] is None and r[3]) == 1
+    if seed == 1:
+        assert {r[2] for r in expected} == {3}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, "a b c"), (5, None), (5, None), (6, "")]
     got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, KIND), shingle=2).collect()
