@@ -26,8 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder, in whatever store it is; a missing one is no error."""
+    where, store = _file(spark, path)
+    store.delete(where, True)
+
+
+def _file(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store."""
+    where, store = _file(spark, path)
+    return store.exists(where)
+
+
+def make_empty(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it."""
+    where, store = _file(spark, path)
+    store.create(where, True).close()
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

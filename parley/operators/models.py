@@ -132,3 +132,10 @@ def ask(
         return Outcome(question, None, "error", f"{type(e).__name__}: {e}", clock() - start, len(request))
     conversation.messages = [*request, {"role": "assistant", "content": answer}]
     return Outcome(question, answer, "ok", None, clock() - start, len(request))
+
+
+def take(conversation: Conversation, outcome: Outcome) -> Outcome:
+    """Commits an answer that was given before, without asking; a failure leaves no trace, as ever."""
+    if outcome.status == "ok":
+        conversation.messages = [*conversation.messages, {"role": "user", "content": outcome.question}, {"role": "assistant", "content": outcome.answer}]
+    return outcome

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.text import is_exit
+
 ROLES = ("system", "user", "assistant")
+#: The role of a row that ends a recorded conversation: no line after it is asked.
+END = "end"
 
 
 def _order() -> WindowSpec:
@@ -61,3 +65,21 @@ def outcomes(transcript: DataFrame) -> DataFrame:
 def first_choice(response: Column) -> Column:
     """The first choice's content of a response struct; null if there are no choices."""
     return F.get(response["choices"], 0)["message"]["content"]
+
+
+def transcript_of(answers: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Answers as a transcript (conv_id, turn, role, text) to go on from: two rows for each question that was answered.
+
+    Turns are doubled, so that an answer comes after its question and before the next one. Of ``lines`` (conv_id, turn,
+    line), those that were asked, an exit word ends its conversation here too: it gets a row of the role END.
+    """
+    ok = answers.where("status = 'ok'")
+    two = F.array(
+        F.struct((F.col("turn") * 2).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")),
+        F.struct((F.col("turn") * 2 + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text")),
+    )
+    said = ok.select("conv_id", F.explode(two).alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
+    if lines is None:
+        return said
+    over = lines.where(is_exit(F.col("line"))).groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return said.unionByName(over.select("conv_id", (F.col("turn") * 2).alias("turn"), F.lit(END).alias("role"), F.lit(None).cast("string").alias("text")))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import delete, run_dir
+from ..operators.ledger import AnswerLedger
 from ..operators.models import EchoBackend
 from ..operators.prompts import CLOSE, LARGE, OPEN, PREAMBLE, with_size_guard, with_system_prompt
-from ..operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes
+from ..operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes, transcript_of
 from ..operators.turns import normalise_turns, take_until
 from ..sources.documents import read_documents
 from ..streaming.chat import answer_stream
+from ..streaming.sinks import read_sink, table_sink
 from .batch import ANSWERS, answer
 
 
@@ -131,6 +133,55 @@ def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ANSWERS).parquet(f"{folder}/answers").drop("elapsed_s")
 
 
+def _brief(talk: DataFrame) -> DataFrame:
+    return talk.select("conv_id").distinct().select("conv_id", F.lit("Be brief.").alias("system_prompt"))
+
+
+def _halves(spark: SparkSession, sf_dir: str, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All questions numbered from 0 in each conversation as ``order``; those of its first half, and the others."""
+    window = Window.partitionBy("conv_id")
+    asked = _asked(_table(spark, sf_dir, "conversations")).withColumn(order, F.row_number().over(window.orderBy("turn")).cast("long") - 1).withColumn("half", F.count(F.lit(1)).over(window) / 2)
+    return asked, asked.where(F.col(order) < F.col("half")).drop("half"), asked.where(F.col(order) >= F.col("half")).drop("half")
+
+
+def chat_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recorded questions in two runs: the second goes on from what the first has answered."""
+    _, first, later = _halves(spark, sf_dir, "place")
+    folder, prompts = run_dir(spark, "parley-resumed"), _brief(first)
+    answer(first, _unreliable, prompts).write.parquet(folder)
+    before = spark.read.schema(ANSWERS).parquet(folder)
+    return before.unionByName(answer(later, _unreliable, prompts, history=transcript_of(before, first))).drop("elapsed_s")
+
+
+def chat_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recorded questions in a run with a ledger, after a run that came half-way: it asks only what is left."""
+    asked, first, _ = _halves(spark, sf_dir, "place")
+    ledger = AnswerLedger(run_dir(spark, "parley-ledger"))
+    answer(first, _unreliable, _brief(first), ledger=ledger).write.format("noop").mode("overwrite").save()
+    ledger.compact(spark)
+    return answer(asked, _unreliable, _brief(asked), ledger=ledger).drop("elapsed_s")
+
+
+def chat_stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of all conversations in batch; a stream goes on from it, under each conversation's own prompt."""
+    _, first, later = _halves(spark, sf_dir, "place")
+    folder = run_dir(spark, "parley-stream-resumed")
+    answer(first, _unreliable, _brief(first)).write.parquet(f"{folder}/before")
+    before = spark.read.schema(ANSWERS).parquet(f"{folder}/before")
+    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("place")).cast("long") - 1
+    later.select("conv_id", seq.alias("seq"), "line", "turn").write.parquet(f"{folder}/lines")
+    lines = spark.readStream.schema("conv_id long, seq long, line string").parquet(f"{folder}/lines")
+    query = (
+        answer_stream(lines, _unreliable, prompts=_brief(first), history=transcript_of(before, first))
+        .writeStream.foreachBatch(table_sink(f"{folder}/answers")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    delete(spark, f"{folder}/state")
+    turns = spark.read.schema("conv_id long, seq long, turn long").parquet(f"{folder}/lines")
+    found = read_sink(spark, f"{folder}/answers", ANSWERS).drop("batch_id").withColumnRenamed("turn", "seq").join(turns, ["conv_id", "seq"])
+    return before.unionByName(found.select(*before.columns)).drop("elapsed_s")
+
+
 QUERIES = {
     "doc_size_guard": doc_size_guard,
     "prompt_build": prompt_build,
@@ -144,6 +195,9 @@ QUERIES = {
     "document_scan": document_scan,
     "chat_fold": chat_fold,
     "chat_stream": chat_stream,
+    "chat_resumed": chat_resumed,
+    "chat_ledger": chat_ledger,
+    "chat_stream_resumed": chat_stream_resumed,
 }
 
 
@@ -197,5 +251,8 @@ ORACLE_SQL = {
         SELECT part::VARCHAR AS name, length(content)::BIGINT AS n_chars, md5(content) AS content_md5, NULL AS error FROM contents
         UNION ALL VALUES ('a binary file', NULL, NULL, 'UnicodeDecodeError'), ('a folder', NULL, NULL, 'IsADirectoryError'), ('nothing', NULL, NULL, 'not found')""",
     "chat_fold": _CHAT,
+    "chat_resumed": _CHAT,
+    "chat_ledger": _CHAT,
+    "chat_stream_resumed": _CHAT,
     "chat_stream": _CHAT.replace("SELECT conv_id, turn, question,", "SELECT conv_id, seq AS turn, question,").replace("FROM (SELECT conv_id, turn,", "FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,"),
 }
