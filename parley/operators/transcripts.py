@@ -33,12 +33,33 @@ def committed(transcript: DataFrame) -> DataFrame:
     return _marked(transcript).where("_kept").select("conv_id", "turn", "role", "text")
 
 
+def conversation_arrays(transcript: DataFrame) -> DataFrame:
+    """(conv_id, messages, asked): each conversation once. ``messages`` are all that it committed, in order; ``asked`` are its
+    questions, as (turn, question, ok, n_before): a question's request is the first ``n_before`` messages, and itself.
+
+    So a conversation takes memory by its length, and not by the square of it: ``request_of`` makes a request when it's read.
+    """
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
+    n_before = F.coalesce(F.sum(F.col("_kept").cast("int")).over(before), F.lit(0)).cast("int")
+    marked = _marked(transcript).withColumns({"_place": F.row_number().over(_order()), "_before": n_before})
+    rows = F.sort_array(F.collect_list(F.struct("_place", "turn", "role", "text", "_kept", "_before")))
+    said = F.transform(F.filter("rows", lambda r: r["_kept"]), lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content")))
+    asked = F.transform(
+        F.filter("rows", lambda r: r["role"] == "user"),
+        lambda r: F.struct(r["turn"].alias("turn"), r["text"].alias("question"), r["_kept"].alias("ok"), r["_before"].alias("n_before")),
+    )
+    return marked.groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", said.alias("messages"), asked.alias("asked"))
+
+
+def request_of(messages: Column, question: Column, n_before: Column) -> Column:
+    """The messages of one request."""
+    return F.concat(F.slice(messages, F.lit(1), n_before), F.array(F.struct(F.lit("user").alias("role"), question.alias("content"))))
+
+
 def requests(transcript: DataFrame) -> DataFrame:
     """(conv_id, turn, status, messages) of every question: all that was committed before it, and itself."""
-    message = F.struct(F.col("role"), F.col("text").alias("content"))
-    before = F.collect_list(F.when(F.col("_kept"), message)).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    asked = _marked(transcript).withColumn("messages", F.array_append(before, message)).where("role = 'user'")
-    return asked.select("conv_id", "turn", F.when(F.col("_kept"), "ok").otherwise("error").alias("status"), "messages")
+    each = conversation_arrays(transcript).select("conv_id", "messages", F.explode("asked").alias("q"))
+    return each.select("conv_id", "q.turn", F.when(F.col("q.ok"), "ok").otherwise("error").alias("status"), request_of(F.col("messages"), F.col("q.question"), F.col("q.n_before")).alias("messages"))
 
 
 def history_at_turn(transcript: DataFrame) -> DataFrame:

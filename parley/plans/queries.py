@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import delete, run_dir
 from ..operators.ledger import AnswerLedger
 from ..operators.models import EchoBackend
 from ..operators.prompts import CLOSE, LARGE, OPEN, PREAMBLE, with_size_guard, with_system_prompt
+from ..operators.reports import observed
+from ..operators.responses import read_responses, token_usage
 from ..operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes, transcript_of
 from ..operators.turns import normalise_turns, take_until
-from ..sources.documents import read_documents
+from ..sources.documents import scan_documents
 from ..streaming.chat import answer_stream
 from ..streaming.sinks import read_sink, table_sink
 from .batch import ANSWERS, answer
@@ -92,8 +94,8 @@ def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 10).cast("long").alias("part")).agg(F.array_join(F.transform(turns, lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("value"))
     texts.write.partitionBy("part").text(folder)
     odd = {f"{sf_dir}/nation.parquet": "a binary file", sf_dir: "a folder", f"{sf_dir}/missing.md": "nothing"}
-    written = [r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]  # the paths alone
-    found = read_documents(spark, [*written, *odd])
+    written = spark.read.format("binaryFile").load(folder).select("path")  # the paths alone
+    found = scan_documents(written.unionByName(spark.createDataFrame([(p,) for p in odd], "path string")))
     named = F.coalesce(*(F.when(F.col("path") == p, n) for p, n in odd.items()), F.regexp_extract("path", "part=([^/]+)", 1))
     return found.select(named.alias("name"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"), F.substring_index("error", ":", 1).alias("error"))
 
@@ -133,6 +135,27 @@ def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ANSWERS).parquet(f"{folder}/answers").drop("elapsed_s")
 
 
+def response_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as raw JSON, made of all recorded questions: by turn, some are cut off, some without choices, some null."""
+    done = outcomes(_table(spark, sf_dir, "conversations"))
+    choice = lambda content: F.struct(F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"))
+    usage = F.struct(F.length("question").alias("prompt_tokens"), F.length("answer").alias("completion_tokens"))
+    whole = F.to_json(F.struct(F.array(choice(F.col("answer")), choice(F.lit("another"))).alias("choices"), usage.alias("usage")))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    raw = F.when(kind == 0, F.expr("left(raw, length(raw) - 3)")).when(kind == 1, '{"choices": []}').when(kind == 2, '{"choices": [{"message": {"content": null}}]}').otherwise(F.col("raw"))
+    read = read_responses(done.select("conv_id", "turn", whole.alias("raw")).withColumn("response", raw))
+    used = token_usage(F.col("response"))
+    return read.select("conv_id", "turn", "status", "answer", F.substring_index("error", ":", 1).alias("error"), used["prompt"].alias("prompt_tokens"), used["completion"].alias("completion_tokens"))
+
+
+def chat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asking all recorded questions came to, as the run itself reports it."""
+    talk, seen, folder = _table(spark, sf_dir, "conversations"), Observation(), run_dir(spark, "parley-report")
+    observed(answer(_asked(talk), _unreliable, _brief(talk)), seen).write.parquet(folder)
+    counted = seen.get
+    return spark.createDataFrame([tuple(counted[c] for c in ("questions", "failures", "messages"))], "questions long, failures long, messages long")
+
+
 def _brief(talk: DataFrame) -> DataFrame:
     return talk.select("conv_id").distinct().select("conv_id", F.lit("Be brief.").alias("system_prompt"))
 
@@ -195,6 +218,8 @@ QUERIES = {
     "document_scan": document_scan,
     "chat_fold": chat_fold,
     "chat_stream": chat_stream,
+    "response_variant": response_variant,
+    "chat_report": chat_report,
     "chat_resumed": chat_resumed,
     "chat_ledger": chat_ledger,
     "chat_stream_resumed": chat_stream_resumed,
@@ -251,6 +276,16 @@ ORACLE_SQL = {
         SELECT part::VARCHAR AS name, length(content)::BIGINT AS n_chars, md5(content) AS content_md5, NULL AS error FROM contents
         UNION ALL VALUES ('a binary file', NULL, NULL, 'UnicodeDecodeError'), ('a folder', NULL, NULL, 'IsADirectoryError'), ('nothing', NULL, NULL, 'not found')""",
     "chat_fold": _CHAT,
+    "response_variant": f"""
+        WITH {_MARKED},
+        made AS (SELECT conv_id, turn, ((conv_id + turn) % 5 + 5) % 5 AS kind, to_json({{'choices': [{{'message': {{'role': 'assistant', 'content': CASE WHEN kept THEN next_text END}}}}, {{'message': {{'role': 'assistant', 'content': 'another'}}}}],
+                     'usage': {{'prompt_tokens': length(text), 'completion_tokens': length(CASE WHEN kept THEN next_text END)}}}})::VARCHAR AS raw FROM marked WHERE role = 'user'),
+        sent AS (SELECT conv_id, turn, CASE kind WHEN 0 THEN left(raw, length(raw) - 3) WHEN 1 THEN '{{"choices": []}}' WHEN 2 THEN '{{"choices": [{{"message": {{"content": null}}}}]}}' ELSE raw END AS response FROM made),
+        parsed AS (SELECT conv_id, turn, CASE WHEN json_valid(response) THEN response::JSON END AS j FROM sent),
+        judged AS (SELECT *, CASE WHEN j IS NULL THEN 'BrokenResponse' WHEN json_array_length(j, '$.choices') = 0 THEN 'NoChoices' END AS error FROM parsed)
+        SELECT conv_id, turn, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN error IS NULL THEN j ->> '$.choices[0].message.content' END AS answer, error,
+            (j ->> '$.usage.prompt_tokens')::BIGINT AS prompt_tokens, (j ->> '$.usage.completion_tokens')::BIGINT AS completion_tokens FROM judged""",
+    "chat_report": f"SELECT count(*) AS questions, count(*) FILTER (status = 'error') AS failures, sum(n_messages)::BIGINT AS messages FROM ({_CHAT})",
     "chat_resumed": _CHAT,
     "chat_ledger": _CHAT,
     "chat_stream_resumed": _CHAT,

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from parley.operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes, requests
+from parley.operators.transcripts import committed, conversation_arrays, first_choice, history_at_turn, outcomes, request_sizes, requests
 
 
 def fold(rows):
@@ -64,3 +65,22 @@ def test_first_choice(spark):
     rows = [(1, {"choices": [{"message": {"content": "a"}}, {"message": {"content": "b"}}]}), (2, {"choices": []}), (3, {"choices": [{"message": {"content": None}}]})]
     frame = spark.createDataFrame(rows, kind)
     assert {r["id"]: r["c"] for r in frame.select("id", first_choice(frame["response"]).alias("c")).collect()} == {1: "a", 2: None, 3: None}
+
+
+def test_a_conversation_is_held_once(frame, talks):
+    """One array of messages for each conversation; a request is a slice of it."""
+    rows = {r["conv_id"]: r for r in conversation_arrays(frame).collect()}
+    assert rows.keys() == {k for k, lines in talks.items() if lines}
+    for k, row in rows.items():
+        messages, asked = fold(talks[k])
+        assert [(m["role"], m["content"]) for m in row["messages"]] == [(role, text) for _, role, text in messages]
+        assert {q["turn"]: q["n_before"] + 1 for q in row["asked"]} == {t: len(m) for t, m in asked.items()}
+
+
+def test_requests_of_a_long_conversation(spark):
+    n = 3000
+    long = spark.range(2 * n).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    row = requests(long).where(f"turn = {2 * n - 2}").select(F.size("messages").alias("n"), F.element_at("messages", -1)["content"].alias("last")).first()
+    assert (row["n"], row["last"]) == (2 * n - 1, f"t{2 * n - 2}")
+    array = conversation_arrays(long).first()
+    assert len(array["messages"]) == 2 * n and len(array["asked"]) == n
