@@ -86,6 +86,12 @@ OTHER_NAMES = [
     "Common Development and Distribution License", "CDDL-1.0", "European Union Public Licence", "EUPL-1.2", "SIL Open Font License", "OFL-1.1", "PostgreSQL License", "Academic Free License", "AFL-3.0",
     "Microsoft Public License", "GNU Affero General Public License", "AGPL-3.0", "GNU Free Documentation License", "Python Software Foundation License", "CC0 1.0", "Open Data Commons License",
 ]
+#: Licences that differ from a family of FURTHER_OF by a further condition.
+FURTHER_OF = ("cc-by", "cc-by-nc", "cc-by-sa")
+FURTHER_NAMES = [
+    "CC BY-NC-SA 4.0", "CC BY-NC-SA 3.0", "CC BY-NC-ND 4.0", "CC BY-NC-ND 3.0", "CC BY-ND 4.0", "CC BY-ND 3.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0 International License",
+]
 OTHER_TEXTS = [
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
@@ -113,6 +119,11 @@ WORDINGS = [
     "Distributed under the {}. See the file LICENSE for details.", "This work is licensed under a {}.", "License: {}", "SPDX-License-Identifier: {}",
 ]
 TEMPLATES: dict[str, list[str]] = {f: [w.format(n) for n in NAMES[f] for w in WORDINGS] + TEXTS[f] for f in sorted(NAMES)}
+#: A choice or a sum of licences behind a field's name (``License: A OR B``), or in words (``under either A or B``): what stands
+#: before it, and its parts. The same in Java's and Python's regular expressions.
+EXPRESSION = r"(?i)^(.*?licen[cs]es?(?:-identifier)?[\"']? *[:=] *[\"']?)(\(*[a-z0-9.+-]+\)*(?: +(?:or|and|with) +\(*[a-z0-9.+-]+\)*)++)[\"',; */-]*$"
+EITHER = r"(?i)^(.*?\bunder +)either +(?:of +)?(?:the +)?(.+?) +or +(?:the +)?(.+)$"
+BETWEEN = r"(?i) +(?:or|and) +"
 #: Places that grams are hashed to (a power of two).
 BUCKETS = 1 << 15
 #: Documents and paragraphs of the sample; cut-outs of a template.
@@ -157,6 +168,11 @@ def own_pairs() -> dict[str, set[str]]:
     return {f: ps - others - set().union(*(qs for g, qs in by_family.items() if g != f)) for f, ps in by_family.items()}
 
 
+def further_pairs() -> list[str]:
+    """Word pairs of FURTHER_NAMES that no template has: what holds one is none of FURTHER_OF."""
+    return sorted(set().union(*map(pairs_of, FURTHER_NAMES)) - set().union(*(pairs_of(t) for f in FURTHER_OF for t in TEMPLATES[f])))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -241,6 +257,29 @@ def paragraphs_of(text: Column) -> Column:
     return F.filter(F.split(text, "[\\r\\n]+"), lambda p: p.rlike("\\S"))
 
 
+def notices_of(paragraph: str) -> list[str]:
+    """A paragraph that joins several licences as one notice for each of them; any other as it is."""
+    if m := re.match(EXPRESSION, paragraph):
+        return [m[1] + part for part in re.split(BETWEEN, re.sub("[()]", "", m[2]))]
+    if m := re.match(EITHER, paragraph):
+        return [m[1] + m[2], m[1] + m[3]]
+    return [paragraph]
+
+
+def _notices(paragraphs: Column) -> Column:
+    """``notices_of`` all of them, in order."""
+
+    def of(p: Column) -> Column:
+        group = lambda pattern, i: F.regexp_extract(p, pattern, i)
+        # as a value of an array, what stands before the parts is found once, and not for each of them
+        held = F.array(F.struct(group(EXPRESSION, 1).alias("before"), F.split(F.regexp_replace(group(EXPRESSION, 2), "[()]", ""), BETWEEN).alias("parts")))
+        parts = F.flatten(F.transform(held, lambda h: F.transform(h["parts"], lambda part: F.concat(h["before"], part))))
+        either = F.array(*(F.concat(group(EITHER, 1), group(EITHER, i)) for i in (2, 3)))
+        return F.when(p.rlike(EXPRESSION), parts).when(p.rlike(EITHER), either).otherwise(F.array(p))
+
+    return F.flatten(F.transform(paragraphs, of))
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
@@ -269,7 +308,8 @@ def classify_paragraphs(spark: SparkSession, paragraphs: DataFrame, model: Licen
     ``probability`` is that of the likeliest known family. ``similarity`` compares the paragraph with that family's
     templates: the share of a template's own pairs (which no other family has) that it holds, or, if it holds two
     of them at least, the share of its pairs that the template has; the largest counts. A family is confirmed from
-    ``shared`` on if its probability reaches the calibrated least, else it is unknown.
+    ``shared`` on if its probability reaches the calibrated least, else it is unknown; so is one of FURTHER_OF where the
+    paragraph names a further condition.
     """
     known, n = model.classes, len(model.classes)
     weights = spark.createDataFrame([(int(b), [float(v) for v in w]) for b, w in zip(model.buckets, model.weights, strict=True)], "bucket int, w array<double>")
@@ -287,22 +327,25 @@ def classify_paragraphs(spark: SparkSession, paragraphs: DataFrame, model: Licen
     share = F.greatest(F.col("c_own") / F.col("n_own"), F.when(F.col("c_own") > 1, F.col("c") / F.col("n")).otherwise(0.0))
     near = common.groupBy("row", "at", "guess").agg(F.max(share).alias("similarity"))
     both = guessed.join(near, ["row", "at", "guess"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    sure = (F.col("probability") >= model.least) & (F.col("similarity") >= shared)
+    further = paragraphs.select("row", "at", F.arrays_overlap(_pairs(F.col("words")), F.array(*map(F.lit, further_pairs()))).alias("further")).where("further")
+    both = both.join(further, ["row", "at"], "left")
+    plain = F.col("further").isNull() | ~F.col("guess").isin(*FURTHER_OF)
+    sure = (F.col("probability") >= model.least) & (F.col("similarity") >= shared) & plain
     return both.select("row", "at", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", sure.alias("confirmed"))
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, model: LicenseModel) -> DataFrame:
     """(doc_id, n_paragraphs, n_known, n_confirmed, families, probability) of every row's whole text.
 
-    ``families`` are the confirmed ones of all paragraphs, sorted and comma-joined; ``n_known`` counts the
-    paragraphs whose likeliest known family reaches the model's least probability, and ``probability`` is the largest
-    among them. Null, empty and blank texts have no paragraphs (empty families, probability 0). Repeated rows get
+    A paragraph that joins licences (``A OR B``) counts as a notice for each. ``families`` are the confirmed ones of all
+    notices, sorted and comma-joined; ``n_known`` counts the notices whose likeliest known family reaches the model's
+    least probability, and ``probability`` is the largest among them. Null, empty and blank texts have no paragraphs (empty families, probability 0). Repeated rows get
     equal results; a null id is a value like others. Other columns are ignored. A paragraph may be any length.
     """
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraphs_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("ps"))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    lines = numbered.select("doc_id", "row", F.size("ps").cast("long").alias("n_paragraphs"), F.posexplode_outer("ps").alias("at", "paragraph"))
+    lines = numbered.select("doc_id", "row", F.size("ps").cast("long").alias("n_paragraphs"), F.posexplode_outer(_notices(F.col("ps"))).alias("at", "paragraph"))
     cut = lines.select("doc_id", "row", "n_paragraphs", F.coalesce("at", F.lit(0)).alias("at"), _words(F.col("paragraph")).alias("words"))
     hashed = cut.withColumn("buckets", buckets_of(F.col("words")))
     tried = hashed.withColumn("tried", F.coalesce(may_be_known(F.col("buckets"), model), F.lit(False)))
