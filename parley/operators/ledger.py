@@ -23,6 +23,8 @@ _FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):  # as Spark writes it, blanks and all
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 

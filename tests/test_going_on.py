@@ -76,8 +76,9 @@ def test_history_of_odd_rows(spark):
     assert rows_of(answer(lines, _echo(), history=history.limit(0)), "conv_id", "n_messages") == [(k, 1) for k in (1, 2, 3, 4)]
 
 
-def test_ledger_asks_once(spark, tmp_path):
-    calls, ledger = tmp_path / "calls", AnswerLedger(str(tmp_path / "ledger"))
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_ledger_asks_once(spark, tmp_path, scheme):
+    calls, ledger = tmp_path / "calls", AnswerLedger(f"{scheme}{tmp_path}/led ger")
     calls.mkdir()
     talks = {1: ["a", "fail", "c"], 2: ["b", "b", "exit", "d"], None: ["n"]}
     lines = lines_of(spark, talks).unionByName(lines_of(spark, {2: ["b"]}))  # the same line of a turn again
