@@ -14,6 +14,7 @@ from ..operators.responses import read_responses, token_usage
 from ..operators.transcripts import committed, first_choice, history_at_turn, outcomes, request_sizes, transcript_of
 from ..operators.turns import normalise_turns, take_until
 from ..sources.documents import scan_documents
+from ..sources.lines import follow_lines, spool_table
 from ..streaming.chat import answer_stream
 from ..streaming.sinks import read_sink, table_sink
 from .batch import ANSWERS, answer
@@ -205,6 +206,24 @@ def chat_stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.unionByName(found.select(*before.columns)).drop("elapsed_s")
 
 
+def chat_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recorded questions as live lines: a stream follows the spool files of each conversation's first half, stops, and goes on
+    from its checkpoint when the files have grown."""
+    asked, first, _ = _halves(spark, sf_dir, "seq")
+    folder = run_dir(spark, "parley-live")
+    for lines in (first, asked):
+        spool_table(lines, f"{folder}/spool")
+        query = (
+            answer_stream(follow_lines(spark, f"{folder}/spool"), _unreliable, "Be brief.")
+            .writeStream.foreachBatch(table_sink(f"{folder}/answers")).option("checkpointLocation", f"{folder}/state").start()
+        )
+        query.processAllAvailable()
+        query.stop()
+    for done in ("spool", "state"):
+        delete(spark, f"{folder}/{done}")
+    return read_sink(spark, f"{folder}/answers", ANSWERS).drop("batch_id", "elapsed_s")
+
+
 QUERIES = {
     "doc_size_guard": doc_size_guard,
     "prompt_build": prompt_build,
@@ -218,6 +237,7 @@ QUERIES = {
     "document_scan": document_scan,
     "chat_fold": chat_fold,
     "chat_stream": chat_stream,
+    "chat_live": chat_live,
     "response_variant": response_variant,
     "chat_report": chat_report,
     "chat_resumed": chat_resumed,
@@ -244,6 +264,9 @@ _CHAT = """
         CASE WHEN NOT ok THEN 'RuntimeError: the model is not available' END AS error,
         (2 + 2 * coalesce(sum(ok::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS n_messages
     FROM (SELECT conv_id, turn, text AS question, length(text) % 7 <> 0 AS ok FROM conversations WHERE role = 'user')"""
+_IN_STREAM = _CHAT.replace("SELECT conv_id, turn, question,", "SELECT conv_id, seq AS turn, question,").replace(
+    "FROM (SELECT conv_id, turn,", "FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,"
+)
 
 ORACLE_SQL = {
     "doc_size_guard": f"SELECT doc_id, length(text)::BIGINT AS n_chars, length(text) > {LARGE} AS oversize FROM documents",
@@ -289,5 +312,6 @@ ORACLE_SQL = {
     "chat_resumed": _CHAT,
     "chat_ledger": _CHAT,
     "chat_stream_resumed": _CHAT,
-    "chat_stream": _CHAT.replace("SELECT conv_id, turn, question,", "SELECT conv_id, seq AS turn, question,").replace("FROM (SELECT conv_id, turn,", "FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,"),
+    "chat_stream": _IN_STREAM,
+    "chat_live": _IN_STREAM.replace("text AS question", "regexp_replace(text, '\\r\\n|\\n|\\r', ' ', 'g') AS question").replace("length(text) % 7", "length(regexp_replace(text, '\\r\\n|\\n|\\r', ' ', 'g')) % 7"),
 }

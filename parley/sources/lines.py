@@ -7,10 +7,13 @@ taken, so a restart goes on where the checkpoint stands, and a batch that runs a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 LINES = "conv_id long, seq long, line string"
@@ -30,7 +33,7 @@ class LineSource(DataSource):
         return LINES
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return LineReader(self.options["path"], int(self.options.get("filebytes", FILE_BYTES)), int(self.options.get("batchbytes", BATCH_BYTES)))
+        return LineReader(_plain(self.options["path"]), int(self.options.get("filebytes", FILE_BYTES)), int(self.options.get("batchbytes", BATCH_BYTES)))
 
 
 class LineReader(SimpleDataSourceStreamReader):
@@ -97,17 +100,65 @@ def follow_lines(spark: SparkSession, folder: str, **options: str | int) -> Data
     return spark.readStream.format("lines").options(**options).load(folder)
 
 
-def spool(folder: str, conv_id: int, lines: Iterable[str]) -> int:
-    """Appends each line as it comes, and makes it visible at once; how many there were.
+def _plain(folder: str) -> str:
+    """A folder as Python opens it: drivers and executors have to mount it."""
+    if folder.startswith("file:"):
+        return "/" + folder.removeprefix("file:").lstrip("/")
+    if ":/" in folder:
+        raise ValueError(f"lines are spooled to a mounted folder, not to {folder}")
+    return folder
+
+
+def _one_line(line: str | None) -> str:
+    """Line ends within a line become spaces, so that a line stays one; a null one is empty."""
+    return (line or "").rstrip("\r\n").replace("\r\n", " ").replace("\n", " ").replace("\r", " ") + "\n"
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Each conversation's lines, which follow one another, to its file: under another name first, then renamed."""
+    now: int | None = None
+    file, count, done = None, 0, []
+
+    def close() -> None:
+        if file is not None:
+            file.close()
+            Path(file.name).rename(Path(folder) / f"{now}{SUFFIX}")
+            done.append((now, count))
 
-    Line ends within a line become spaces, so that a line stays one.
+    for batch in batches:
+        for conv_id, line in zip(batch["conv_id"].to_pylist(), batch["line"].to_pylist(), strict=True):
+            if file is None or conv_id != now:
+                close()
+                now, count = conv_id, 0
+                file = (Path(folder) / f"{conv_id}.{uuid.uuid4().hex}.part").open("w", encoding="utf-8", newline="\n")
+            file.write(_one_line(line))
+            count += 1
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(2)], ["conv_id", "n_lines"])
+
+
+def spool_table(lines: DataFrame, folder: str, order: str = "seq") -> int:
+    """Writes the lines (conv_id, line) of a table to the spool folder, each conversation's whole file anew, in the given order;
+    how many there were. Rows without ``conv_id`` are left out.
+
+    The executors write. A task that runs again writes the same files. A file that is longer than it was, with the same
+    beginning, is followed from where it ended.
     """
-    path = Path(folder)
+    plain = _plain(folder)
+    Path(plain).mkdir(parents=True, exist_ok=True)
+    rows = lines.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col(order).alias("place"), F.col("line").cast("string").alias("line"))
+    written = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place", "line").mapInArrow(lambda it: _write_files(it, plain), "conv_id long, n_lines long")
+    return written.agg(F.sum("n_lines")).first()[0] or 0
+
+
+def spool(folder: str, conv_id: int, lines: Iterable[str]) -> int:
+    """Appends each line as it comes, and makes it visible at once; how many there were."""
+    path = Path(_plain(folder))
     path.mkdir(parents=True, exist_ok=True)
     n = 0
     with (path / f"{conv_id}{SUFFIX}").open("a", encoding="utf-8", newline="\n") as file:
         for line in lines:
-            file.write(line.rstrip("\r\n").replace("\r\n", " ").replace("\n", " ").replace("\r", " ") + "\n")
+            file.write(_one_line(line))
             file.flush()
             n += 1
     return n

@@ -10,7 +10,7 @@ from parley.operators.ledger import AnswerLedger
 from parley.operators.models import EchoBackend
 from parley.operators.transcripts import transcript_of
 from parley.plans.batch import ANSWERS, answer
-from parley.sources.lines import LineReader, follow_lines, spool
+from parley.sources.lines import LineReader, follow_lines, spool, spool_table
 from parley.streaming import chat
 from parley.streaming.chat import answer_stream
 from parley.streaming.sinks import both, console_sink, read_sink, table_sink
@@ -172,6 +172,17 @@ def test_offsets_give_the_same_lines_again(tmp_path):
     assert list(LineReader(str(tmp_path / "missing"), 5, 5).read({})[0]) == []
 
 
+def test_a_table_is_spooled_by_the_executors(spark, tmp_path):
+    lines = spark.createDataFrame([(k, i, x) for k in range(40) for i, x in enumerate(["a\r\nb", None, f"é{k}\n"])] + [(None, 0, "left out")], "conv_id long, seq long, line string").repartition(5)
+    folder = f"file://{tmp_path}/spool"
+    assert spool_table(lines.where("seq < 2"), folder) == 80 and spool_table(lines, folder) == 120
+    assert sorted(p.name for p in (tmp_path / "spool").iterdir()) == sorted(f"{k}.lines" for k in range(40))
+    assert (tmp_path / "spool" / "7.lines").read_text(encoding="utf-8") == "a b\n\né7\n"
+    assert spool_table(lines.limit(0), folder) == 0
+    with pytest.raises(ValueError, match="mounted"):
+        spool("store://host/x", 1, ["a"])
+
+
 def test_replayed_batches_leave_one_copy(spark, tmp_path):
     shown = io.StringIO()
     sink = both(table_sink(str(tmp_path / "out")), console_sink(spark, str(tmp_path / "marks"), shown, shown))
