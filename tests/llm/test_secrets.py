@@ -130,4 +130,4 @@ def test_time_is_linear(tagger, piece):
         return time.perf_counter() - start
 
     seconds(50_000)
-    assert seconds(1_000_000) < 10  # a quadratic scan takes minutes
+    assert seconds(1_000_000) < 25  # a quadratic scan takes minutes
