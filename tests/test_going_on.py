@@ -208,7 +208,7 @@ def test_gaps_and_idle_conversations(spark, tmp_path):
     query = answer_stream(lines.unionByName(clock), _echo(), gap_after_s=2, idle_after_s=14).writeStream.foreachBatch(table_sink(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
     try:
         expected = [(1, 0, "ok", 1), (1, 1, "error", 0), (1, 2, "error", 0), (1, 3, "ok", 3), (1, 4, "ok", 5), (2, 0, "error", 0), (2, 1, "ok", 1), (3, 0, "ok", 1)]
-        for _ in range(120):
+        for _ in range(240):
             time.sleep(0.5)
             found = rows_of(read_sink(spark, out, ANSWERS), "conv_id", "turn", "status", "n_messages") if (tmp_path / "out").exists() else []
             if len(found) == len(expected):
@@ -216,7 +216,7 @@ def test_gaps_and_idle_conversations(spark, tmp_path):
         assert found == expected
         assert {r["error"] for r in read_sink(spark, out, ANSWERS).where("status = 'error'").collect()} == {chat.MISSING}
         assert state_rows(query) > 0
-        for _ in range(120):
+        for _ in range(240):
             time.sleep(0.5)
             if query.lastProgress and not state_rows(query):
                 break
