@@ -3,8 +3,9 @@
 Documents of equal texts are linked. Each starts in a shard by its hash; then, in rounds, linked documents move
 to the shard that most of their group is in and that has room, under quotas: a shard takes at most what its
 capacity leaves and what leaves it. A group therefore meets in one shard, or, if it is larger than a shard, in
-as few as can hold it. Documents without links cut no edge wherever they are; they come last and level the
-shards' bytes by prefix sums.
+as few as can hold it. Documents without links cut no edge wherever they are; they come last. The longest of them (of
+more than a LONG-th of a shard) go one by one to the shard that has least, and the others level the shards' bytes by
+prefix sums, so that shards differ by about the longest of these others.
 
 A round reads one row per linked document (a few numbers) and joins it with one row per group: by broadcast where
 the counted groups are few, else with large groups split into parts. Only the matrix of bytes that want to move from
@@ -13,6 +14,9 @@ shard to shard reaches the driver.
 
 from __future__ import annotations
 
+import heapq
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,20 @@ from .common import Scratch, join_split, parts_of, small
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 16_384
 #: Groups that may be broadcast, at about 300 bytes each.
 FEW_GROUPS = 50_000
+#: A text of more than a LONG-th of a shard's bytes is placed on its own: fewer than LONG for each shard, whatever the table.
+LONG = 1000
+
+
+def _one_by_one(sizes: list[tuple[int, int]], loads: list[float]) -> dict[int, int]:
+    """Shards for (size, key), the longest first and each where least is; ``loads`` are brought up to date."""
+    heap = [(b, s) for s, b in enumerate(loads)]
+    heapq.heapify(heap)
+    placed: dict[int, int] = {}
+    for size, key in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + size, shard))
+        placed[key], loads[shard] = shard, load + size
+    return placed
 
 
 def _quota(flow: list[list[float]], room: list[float]) -> list[float]:
@@ -79,19 +97,24 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8, rou
     loads = [0.0] * n_shards
     for r in labels.groupBy("shard").agg(F.sum("size").alias("b")).collect():  # a row for each shard
         loads[r["shard"]] = float(r["b"])
-    fill = _level(loads, float(total - tied))
+    long = F.col("size") > total / n_shards / LONG
+    longest = [(r["size"], r["u"]) for r in known.where(~F.col("linked") & long).select("size", "u").collect()]  # fewer than LONG for each shard
+    placed_long = _one_by_one(longest, loads)
+    fill = _level(loads, float(total - tied - sum(size for size, _ in longest)))
     ends = [sum(fill[: i + 1]) for i in range(n_shards)]
 
     n_buckets = min(MOST_BUCKETS, max(16, rows // BUCKET_ROWS))
     bucket = F.pmod(F.shiftright("u", 20), F.lit(n_buckets)).cast("int").alias("bucket")
-    single = known.where("not linked").select("*", bucket)
+    single = known.where(~F.col("linked") & ~long).select("*", bucket)
+    own = known.where(~F.col("linked") & long).drop("shard").join(_table_of(spark, placed_long), "u").select("*", bucket)
     at = _offsets(single.groupBy("bucket").agg(F.sum("size").alias("b")), [], "b")
     order = Window.partitionBy("bucket").orderBy("u", "doc_id")
     middle = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     filled = single.join(small(at, n_buckets), "bucket").withColumn("m", middle)
     shard = F.least(F.lit(n_shards - 1), F.aggregate(F.array(*(F.lit(float(e)) for e in ends)), F.lit(0), lambda acc, e: acc + F.when(e < F.col("m"), 1).otherwise(0)))
     columns = ["doc_id", "size", "text_crc32", "linked", "u", "bucket"]
-    placed = scratch.save(filled.select(*columns, shard.cast("int").alias("shard")).unionByName(labels.select("*", bucket).select(*columns, "shard")), "placed")
+    levelled = filled.select(*columns, shard.cast("int").alias("shard"))
+    placed = scratch.save(levelled.unionByName(own.select(*columns, "shard")).unionByName(labels.select("*", bucket).select(*columns, "shard")), "placed")
 
     first = _offsets(placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("b")), ["shard"], "b")
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("u", "doc_id"))
@@ -99,6 +122,12 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8, rou
     return numbered.select("doc_id", "size", "text_crc32", "linked", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
 
 
+def _table_of(spark: SparkSession, placed: dict[int, int]) -> DataFrame:
+    """(u, shard), to be broadcast."""
+    rows = F.from_json(F.lit(json.dumps([{"u": u, "shard": shard} for u, shard in placed.items()])), "array<struct<u:long,shard:int>>")
+    return F.broadcast(spark.range(1).select(F.inline(rows)))
+
+
 def _with_groups(rows: DataFrame, one: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` joined with ``one``, which has a row for each of some of the ``groups``."""
     n = groups.count()
