@@ -122,7 +122,8 @@ TEMPLATES: dict[str, list[str]] = {f: [w.format(n) for n in NAMES[f] for w in WO
 #: A choice or a sum of licences behind a field's name (``License: A OR B``), or in words (``under either A or B``): what stands
 #: before it, and its parts. The same in Java's and Python's regular expressions.
 EXPRESSION = r"(?i)^(.*?licen[cs]es?(?:-identifier)?[\"']? *[:=] *[\"']?)(\(*[a-z0-9.+-]+\)*(?: +(?:or|and|with) +\(*[a-z0-9.+-]+\)*)++)[\"',; */-]*$"
-EITHER = r"(?i)^(.*?\bunder +)either +(?:of +)?(?:the +)?(.+?) +or +(?:the +)?(.+)$"
+#: The first ``under either`` decides and a run of spaces is tried once, so that time is linear in the text.
+EITHER = r"(?i)^(?>(.*?\bunder +)(?=either ))either +(?:of +)?(?:the +)?(.+?)(?<! ) ++or +(?:the +)?(.+)$"
 BETWEEN = r"(?i) +(?:or|and) +"
 #: Places that grams are hashed to (a power of two).
 BUCKETS = 1 << 15
