@@ -25,6 +25,7 @@ from ..plans.batch import ANSWERS
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 _COLUMNS = ["conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages"]
 MISSING = "LineMissing: it did not come in time"
 
@@ -174,7 +175,7 @@ def answer_stream(
 
     Once a conversation has ended its state shrinks to that mark. A line that has already been taken (the same
     ``seq`` again) is ignored, as is one without ``seq``. Such state needs RocksDB as the session's state store; where the
-    session has set none, it is set.
+    session has set none, it is set, and so are its changelogs, which let a batch commit its changes alone.
 
     A new stream goes on from ``history``, a transcript as ``answer`` takes it, which becomes its first state (each
     conversation's messages, one row of it); lines count from 0 again. ``prompts`` (conv_id, system_prompt) are first
@@ -186,8 +187,11 @@ def answer_stream(
     Timers go off with micro-batches: the trigger has to run on. With a ``ledger``, a batch that is run again asks nothing twice.
     """
     spark = lines.sparkSession
-    if PROVIDER not in spark.conf.getAll:
+    held = spark.conf.getAll
+    if PROVIDER not in held:
         spark.conf.set(PROVIDER, ROCKSDB)
+    if CHANGELOG not in held:  # a batch commits what it has changed, and not the store's files
+        spark.conf.set(CHANGELOG, "true")
     id_ = F.col("conv_id").cast("long").alias("conv_id")
     keyed = lines.select(id_, F.col("seq").cast("long").alias("seq"), "line")
     fold = _Fold(WorkerBackend(backend), system_prompt, ledger, int(gap_after_s * 1000), int(idle_after_s * 1000))
