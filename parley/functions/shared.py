@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, beyond which it takes no further row.
 BATCH_BYTES = 4 << 20
@@ -67,3 +68,13 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def gathered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Each key's rows in one partition, one after another in ``order``, for a function over partitions.
+
+    ``repartition(key)`` alone is no such promise. Spark drops it where its input, such as a union of aggregates, is already
+    dealt by the key, and then merges small partitions of the union's parts each in its own way, as a function over
+    partitions demands nothing. A hash of the key is no input's partitioning.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import bound_batches
+from ..functions.shared import bound_batches, gathered
 from ..functions.text import is_blank
 from ..operators.ledger import AnswerLedger, ask_once
 from ..operators.models import Backend, Conversation, Outcome, WorkerBackend
@@ -62,7 +62,7 @@ def answer(turns: DataFrame, backend: Callable[[], Backend], prompts: DataFrame
     if ledger is not None:
         lines = lines.unionByName(_rows(ledger.read(spark), KNOWN, F.col("turn"), "question", nth=F.col("nth"), known=True))
     made = WorkerBackend(backend)
-    return lines.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "line").mapInArrow(lambda it: _fold(it, made, ledger), ANSWERS)
+    return gathered(lines, "conv_id", "kind", "turn", "line").mapInArrow(lambda it: _fold(it, made, ledger), ANSWERS)
 
 
 def _fold(batches: Iterator[pa.RecordBatch], backend: Callable[[], Backend], ledger: AnswerLedger | None) -> Iterator[pa.RecordBatch]:

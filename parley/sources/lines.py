@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..functions.shared import gathered
+
 LINES = "conv_id long, seq long, line string"
 SUFFIX = ".lines"
 #: Bytes that are taken from one file, and from all files, in a batch.
@@ -147,7 +149,7 @@ def spool_table(lines: DataFrame, folder: str, order: str = "seq") -> int:
     plain = _plain(folder)
     Path(plain).mkdir(parents=True, exist_ok=True)
     rows = lines.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col(order).alias("place"), F.col("line").cast("string").alias("line"))
-    written = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place", "line").mapInArrow(lambda it: _write_files(it, plain), "conv_id long, n_lines long")
+    written = gathered(rows, "conv_id", "place", "line").mapInArrow(lambda it: _write_files(it, plain), "conv_id long, n_lines long")
     return written.agg(F.sum("n_lines")).first()[0] or 0
 
 

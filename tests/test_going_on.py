@@ -4,6 +4,7 @@ import io
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.operators.ledger import AnswerLedger
@@ -65,6 +66,23 @@ def test_a_talk_cut_in_two_is_one_talk(spark, cut):
     assert sorted(rows_of(before) + rows_of(after), key=str) == whole
 
 
+def test_prompts_meet_lines_that_share_their_partitioning(spark):
+    """Windows and aggregates by conversation, in partitions of unequal sizes that Spark merges."""
+    few = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    held = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        rows = spark.range(4000).select((F.col("id") % 1000).alias("conv_id"), F.floor(F.col("id") / 1000).alias("turn"), F.concat(F.lit("q"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2)).alias("line"))
+        lines = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("place <= 2")
+        prompts = lines.select("conv_id").distinct().select("conv_id", F.lit("rules").alias("system_prompt"))
+        found = answer(lines, _echo(), prompts).groupBy("n_messages").count().collect()
+        assert sorted(tuple(r) for r in found) == [(2, 1000), (4, 1000)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_history_of_odd_rows(spark):
     """A failed question leaves no trace, a recorded system message seeds, unless a prompt does; null turns come first."""
     history = spark.createDataFrame(
