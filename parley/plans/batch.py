@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import bound_batches, gathered
 from ..functions.text import is_blank
-from ..operators.ledger import AnswerLedger, ask_once
+from ..operators.ledger import AnswerLedger, ask_once, bucket_of
 from ..operators.models import Backend, Conversation, Outcome, WorkerBackend
 from ..operators.transcripts import END, committed
 
@@ -62,6 +62,8 @@ def answer(turns: DataFrame, backend: Callable[[], Backend], prompts: DataFrame
     if ledger is not None:
         lines = lines.unionByName(_rows(ledger.read(spark), KNOWN, F.col("turn"), "question", nth=F.col("nth"), known=True))
     made = WorkerBackend(backend)
+    if ledger is not None:  # a log's conversations in one task, one after another
+        return gathered(lines.withColumn("bucket", bucket_of(F.col("conv_id"))), "bucket", "conv_id", "kind", "turn", "line").mapInArrow(lambda it: _fold(it, made, ledger), ANSWERS)
     return gathered(lines, "conv_id", "kind", "turn", "line").mapInArrow(lambda it: _fold(it, made, ledger), ANSWERS)
 
 
@@ -71,6 +73,7 @@ def _fold(batches: Iterator[pa.RecordBatch], backend: Callable[[], Backend], led
     talk, prompted = Conversation(), False
     known: dict[tuple, Outcome] = {}
     came: Counter[tuple] = Counter()
+    log = ledger.log() if ledger is not None else None
     for batch in batches:
         out = []
         for conv_id, kind, turn, role, line, nth, given in zip(*(batch[c].to_pylist() for c in ("conv_id", "kind", "turn", "role", "line", "nth", "known")), strict=True):
@@ -87,7 +90,7 @@ def _fold(batches: Iterator[pa.RecordBatch], backend: Callable[[], Backend], led
                 known[turn, line, nth] = Outcome(line, *given.values())
             else:
                 key = (turn, line.strip())
-                o = ask_once(talk, line, backend(), ledger, conv_id, turn, came[key], known.get((*key, came[key])))
+                o = ask_once(talk, line, backend(), log, conv_id, turn, came[key], known.get((*key, came[key])))
                 came[key] += 1
                 if o:
                     out.append((conv_id, turn, o.question, o.answer, o.status, o.error, o.elapsed_s, o.n_messages))

@@ -130,6 +130,30 @@ def test_a_job_that_dies_asks_only_what_is_left(spark, tmp_path):
     assert asked(calls) == ["a", "b", "c", "die"]
 
 
+def test_a_ledgers_files_dont_grow_with_the_questions(spark, tmp_path):
+    calls, ledger = tmp_path / "calls", AnswerLedger(str(tmp_path / "ledger"))
+    calls.mkdir()
+    talks = {k: [f"{k} {i}" for i in range(30)] for k in (1, 2, None)}
+    first = rows_of(answer(lines_of(spark, talks, 0, 20), _echo(str(calls)), ledger=ledger))
+    files = [p for p in (tmp_path / "ledger" / "fresh").rglob("*") if p.is_file()]
+    assert len(first) == 60 and len(files) == 3
+    with files[0].open("ab") as file:  # a line that was cut off
+        file.write(files[0].read_bytes().splitlines()[0][:-3])
+    assert ledger.read(spark).count() == 60
+    assert ledger.find(None, 3, "None 3", 0).n_messages == 7 and ledger.find(None, 3, "None 3", 1) is None
+    rows_of(answer(lines_of(spark, talks), _echo(str(calls)), ledger=ledger))
+    assert len(asked(calls)) == 90 and ledger.compact(spark) == 90 and ledger.read(spark).count() == 90
+
+
+def test_an_answer_comes_before_a_recorded_failure(spark, tmp_path):
+    ledger = AnswerLedger(str(tmp_path / "ledger"), again=True)
+    lines = lines_of(spark, {1: ["fail"]})
+    rows_of(answer(lines, _echo(), ledger=ledger))
+    ledger.compact(spark)
+    assert rows_of(answer(lines, EchoBackend, ledger=ledger), "status") == [("ok",)]
+    assert rows_of(ledger.read(spark), "status") == [("ok",)]
+
+
 def stream(spark, lines, folder, sink, **options):
     """Runs what has come so far to its end, from the checkpoint in ``folder``."""
     query = answer_stream(lines, _echo(), **options).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").start()
