@@ -3,23 +3,32 @@
 A conversation's lines are one file, ``<conv_id>.lines`` in the spool folder, to which they are appended. The source gives
 (conv_id, seq, line): ``seq`` counts a file's lines from 0. Its offset says for each file how many bytes and lines were
 taken, so a restart goes on where the checkpoint stands, and a batch that runs again reads the same bytes.
+
+A whole table of lines needs no file for each conversation: ``spool_shared`` writes files that conversations share, one for each
+task, and ``follow_shared`` follows them, read by the executors; its offset grows with files and not with conversations.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.shared import gathered
 
 LINES = "conv_id long, seq long, line string"
 SUFFIX = ".lines"
+#: Of files that conversations share.
+SHARED = ".shared"
+#: Rows that a task hands to Spark at once.
+ROWS = 5_000
 #: Bytes that are taken from one file, and from all files, in a batch.
 FILE_BYTES, BATCH_BYTES = 1 << 20, 16 << 20
 
@@ -164,3 +173,81 @@ def spool(folder: str, conv_id: int, lines: Iterable[str]) -> int:
             file.flush()
             n += 1
     return n
+
+
+class SharedLineSource(DataSource):
+    """``spark.readStream.format("shared_lines").load(folder)``, of what ``spool_shared`` has written; the executors read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "shared_lines"
+
+    def schema(self) -> str:
+        return LINES
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return SharedLineReader(_plain(self.options["path"]))
+
+
+class SharedLineReader(DataSourceStreamReader):
+    """Offsets: ``{file: 1}``. A file is whole from the moment that it has its name, and isn't changed after."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {f.name: 1 for f in sorted(self.folder.glob(f"*{SHARED}"))} if self.folder.is_dir() else {}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(name) for name in sorted(end.keys() - start.keys())]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        with (self.folder / partition.value).open(encoding="utf-8") as file:
+            for line in file:
+                rows.append(json.loads(line))
+                if len(rows) >= ROWS:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["conv_id", "seq", "line"])
+
+
+def follow_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream (conv_id, seq, line) of what ``spool_shared`` writes to ``folder``, from its beginning or from the query's checkpoint."""
+    spark.dataSource.register(SharedLineSource)
+    return spark.readStream.format("shared_lines").load(folder)
+
+
+def _share(batches: Iterator[pa.RecordBatch], folder: str, call: str) -> Iterator[pa.RecordBatch]:
+    """A task's lines to one file, under another name first, then renamed; a task that runs again writes the same file."""
+    path, n, file = Path(folder) / f"{call}-{TaskContext.get().partitionId():06d}{SHARED}", 0, None
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("conv_id", "seq", "line")), strict=True):
+            if file is None:
+                file = path.with_suffix(f".{uuid.uuid4().hex}.part").open("w", encoding="utf-8", newline="\n")
+            file.write(json.dumps([*row[:2], _one_line(row[2])[:-1]], ensure_ascii=False) + "\n")
+            n += 1
+    if file is not None:
+        file.close()
+        Path(file.name).rename(path)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n_lines"])
+
+
+def spool_shared(lines: DataFrame, folder: str) -> int:
+    """Adds the lines (conv_id, seq, line) of a table to the spool folder, in files that conversations share; how many there were.
+    Rows without ``conv_id`` are left out. A conversation's later lines go into a later call, with the ``seq`` that follows."""
+    plain, call = _plain(folder), uuid.uuid4().hex
+    Path(plain).mkdir(parents=True, exist_ok=True)
+    rows = lines.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("line").cast("string").alias("line"))
+    return rows.mapInArrow(lambda it: _share(it, plain, call), "n_lines long").agg(F.sum("n_lines")).first()[0] or 0

@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,7 +25,7 @@ from ..plans.batch import ANSWERS
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
-_COLUMNS = ["conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages"]
+_Answer = Row("conv_id", "turn", "question", "answer", "status", "error", "elapsed_s", "n_messages")
 MISSING = "LineMissing: it did not come in time"
 
 
@@ -58,34 +57,32 @@ class _Fold(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq long", "line string")
         self.place = handle.getValueState("place", _PLACE)
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        for prompt, messages in zip(initialState["system_prompt"], initialState["messages"], strict=True):
-            place = self._place()
-            place.prompt = prompt if isinstance(prompt, str) else place.prompt
-            said = [(m["role"], m["content"]) for m in messages] if messages is not None else []
-            place.ended = place.ended or any(role == END for role, _ in said)
-            said = [m for m in said if m[0] != END and (m[0] != "system" or place.prompt is None)]
-            if place.prompt is None and said and said[0][0] == "system":
-                place.prompt, said = said[0][1], said[1:]
-            if said and not place.ended:
-                self.messages.appendList(said)
-                place.messages += len(said)
-            self._timers(place, timerValues)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:  # noqa: N802, N803
+        place = self._place()
+        place.prompt = initialState["system_prompt"] if initialState["system_prompt"] is not None else place.prompt
+        said = [(m["role"], m["content"]) for m in initialState["messages"] or []]
+        place.ended = place.ended or any(role == END for role, _ in said)
+        said = [m for m in said if m[0] != END and (m[0] != "system" or place.prompt is None)]
+        if place.prompt is None and said and said[0][0] == "system":
+            place.prompt, said = said[0][1], said[1:]
+        if said and not place.ended:
+            self.messages.appendList(said)
+            place.messages += len(said)
+        self._timers(place, timerValues)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         place = self._place()
         new: dict[int, str | None] = {}
-        for batch in rows:
-            if not place.ended:
-                for seq, line in zip(batch["seq"], batch["line"], strict=True):
-                    if seq >= place.next_seq:
-                        new.setdefault(int(seq), line if isinstance(line, str) else None)
+        for row in rows:
+            seq = row["seq"]
+            if not place.ended and seq is not None and seq >= place.next_seq:
+                new.setdefault(seq, row["line"])
         out = self._go_on(key[0], place, new) if new else []
         if new:
             self._timers(place, timerValues)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        yield from (_Answer(*o) for o in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         place, now, out = self._place(), expiredTimerInfo.getExpiryTimeInMs(), []
         if place.idle_at and place.idle_at <= now:
             self._forget()
@@ -96,7 +93,7 @@ class _Fold(StatefulProcessor):
             place.next_seq, place.gap_at = first, 0
             out += self._go_on(key[0], place, {})
             self._timers(place, timerValues)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        yield from (_Answer(*o) for o in out)
 
     def _place(self) -> _Place:
         held = self.place.get()
@@ -208,4 +205,4 @@ def answer_stream(
             seeds = prompts.where("system_prompt is not null").groupBy(id_).agg(F.min("system_prompt").alias("system_prompt"))
         same = said["conv_id"].eqNullSafe(seeds["conv_id"])
         first = said.join(seeds, same, "full").select(F.coalesce(said["conv_id"], seeds["conv_id"]).alias("conv_id"), "system_prompt", "messages").groupBy("conv_id")
-    return keyed.groupBy("conv_id").transformWithStateInPandas(fold, ANSWERS, "Append", mode, first)
+    return keyed.groupBy("conv_id").transformWithState(fold, ANSWERS, "Append", mode, first)

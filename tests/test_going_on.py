@@ -11,7 +11,7 @@ from parley.operators.ledger import AnswerLedger
 from parley.operators.models import EchoBackend
 from parley.operators.transcripts import transcript_of
 from parley.plans.batch import ANSWERS, answer
-from parley.sources.lines import LineReader, follow_lines, spool, spool_table
+from parley.sources.lines import LineReader, follow_lines, follow_shared, spool, spool_shared, spool_table
 from parley.streaming import chat
 from parley.streaming.chat import answer_stream
 from parley.streaming.sinks import both, console_sink, read_sink, table_sink
@@ -225,6 +225,21 @@ def test_a_table_is_spooled_by_the_executors(spark, tmp_path):
         spool("store://host/x", 1, ["a"])
 
 
+def test_shared_spools_after_a_restart(spark, tmp_path):
+    """Files by tasks and not by conversations; what was taken before the restart isn't taken again."""
+    folder, out = f"file://{tmp_path}/spool", str(tmp_path / "out")
+    talks = {k: [f"a{k}", "fail", 'é "q"\r\nc\u2028\x85d', "last"] for k in range(30)} | {30: ["x", "exit", "late"], None: ["left out"]}
+    lines = spark.createDataFrame([(k, i, x) for k, talk in talks.items() for i, x in enumerate(talk)], "conv_id long, seq long, line string").repartition(3)
+    for part, n in ((lines.where("seq < 2"), 62), (lines.where("seq >= 2"), 61)):
+        assert spool_shared(part, folder) == n
+        stream(spark, follow_shared(spark, folder), tmp_path, table_sink(out)).stop()
+    assert spool_shared(lines.limit(0), folder) == 0
+    names = [p.name for p in (tmp_path / "spool").iterdir()]
+    assert len(names) <= 6 and all(n.endswith(".shared") for n in names)
+    one_line = {k: [x.replace("\r\n", " ") for x in talk] for k, talk in talks.items() if k is not None}
+    assert rows_of(read_sink(spark, out, ANSWERS)) == rows_of(answer(lines_of(spark, one_line), _echo()))
+
+
 def test_replayed_batches_leave_one_copy(spark, tmp_path):
     shown = io.StringIO()
     sink = both(table_sink(str(tmp_path / "out")), console_sink(spark, str(tmp_path / "marks"), shown, shown))
